@@ -347,3 +347,66 @@ MEDIUM_RISK_TYPES = (
     "minor_data", "online_identifier", "organization_identifier", "phone_number",
     "salary_compensation", "student_identifier", "url", "device_identifier",
 )
+
+# --- plain-language copy: type -> (label, why it matters) ---------------------------------------
+
+SIGNAL_COPY = {
+    "address": ("address", "can identify or locate a person"),
+    "bank_account": ("bank account", "can identify a person in a financial context"),
+    "biometric_data": ("biometric data", "can indicate a special-category biometric context"),
+    "credential_secret": ("credential secret", "can create access or account-takeover risk if exposed"),
+    "date_of_birth": ("date of birth", "can identify a person when combined with other details"),
+    "driver_license": ("driver licence number", "can directly identify a person through an official document"),
+    "email": ("email address", "can identify or contact a person"),
+    "employee_id": ("employee identifier", "can identify a worker inside an organisation"),
+    "government_identifier": ("government identifier", "can directly identify a person through an official identifier"),
+    "health_data": ("health data", "can indicate a special-category health context"),
+    "iban_like": ("IBAN-like bank identifier", "can identify a person or account in a financial context"),
+    "license_plate": ("licence plate", "can identify a vehicle linked to a person"),
+    "location_data": ("location data", "can reveal where a person is or has been"),
+    "medical_identifier": ("medical identifier", "can identify a person in a healthcare context"),
+    "minor_data": ("minor-related data", "can indicate data about a child or young person"),
+    "national_identifier": ("national identifier", "can directly identify a person through a state or employment identifier"),
+    "online_identifier": ("online identifier", "can identify a person or browser over time"),
+    "passport_number": ("passport number", "can directly identify a person through an official travel document"),
+    "payment_card": ("payment card number", "can identify a person in a payment context"),
+    "person_name": ("person name", "can identify a person when combined with file context"),
+    "phone_number": ("phone number", "can identify or contact a person"),
+    "political_opinion": ("political opinion indicator", "can indicate a special-category political-opinion context"),
+    "race_ethnicity": ("race or ethnicity indicator", "can indicate a special-category race or ethnicity context"),
+    "religious_belief": ("religious belief indicator", "can indicate a special-category religious-belief context"),
+    "salary_compensation": ("salary or compensation detail", "can reveal employment or compensation information about a person"),
+    "sex_life_orientation": ("sex life or orientation indicator", "can indicate a special-category sex life or orientation context"),
+    "signature": ("signature", "can authenticate or identify a person"),
+    "student_identifier": ("student identifier", "can identify a learner inside an education context"),
+    "tax_id": ("tax identifier", "can directly identify a person in a tax or payroll context"),
+    "trade_union": ("trade union indicator", "can indicate a special-category trade-union context"),
+    "travel_record": ("travel record", "can reveal a person's movement or travel history"),
+    "url": ("URL", "can point to an online profile, account, or resource linked to a person"),
+}
+OTHER_RELEVANCE = "may relate to an identifiable person"
+
+# --- policy pack --------------------------------------------------------------------------------
+
+POLICY_VERSION = "2026.05-demo"
+CONTEXT_CATEGORIES = {
+    "Expense_Report": "expense_report",
+    "IT_Access_Request": "it_access",
+    "Incident_Report": "incident_report",
+    "Source_Documents": "source_documents",
+    "Supplier_Onboarding": "supplier_onboarding",
+    "Training_Evaluation": "training_evaluation",
+}
+RETENTION_RULES = (("supplier_onboarding", 1095), ("it_access", 730))
+RISK_GUIDANCE = (
+    ("supplier_onboarding", ("iban_like", "billing_address", "signature"), "high", 80,
+     "Financial and signature identifiers require accountable human review."),
+    ("it_access", ("employee_id", "email", "access_role"), "high", 80,
+     "Identity and access-role evidence requires review before any action."),
+    ("incident_report", ("email", "free_text_personal_data"), "medium", 60,
+     "Incident context can contain personal descriptions and needs owner review."),
+    ("expense_report", ("email", "employee_id", "reimbursement_data"), "medium", 55,
+     "Expense records need business-context review before retention decisions."),
+    ("training_evaluation", ("email", "feedback_comment"), "medium", 55,
+     "Training feedback can include employee opinions and needs accountable review."),
+)

@@ -65,11 +65,11 @@ def _if_possible(text: Column, rule: fixed.PatternRule, spans: Column) -> Column
     return F.when(test, spans).otherwise(empty(SPAN))
 
 
-def phone_spans(text: Column) -> Column:
-    """Phone numbers that are no part of a longer digit run.
+def phone_candidates(text: Column, only_possible: bool = True) -> Column:
+    """Phone-like matches with `run_ok`: whether the digit run around the match allows a phone.
 
     The text is cut into runs of digits and phone punctuation first, so the test of a match reads
-    its own run and not the document.
+    its own run and not the document. With `only_possible`, runs that cannot pass are left out.
     """
     regex = java_regex(fixed.PHONE)
 
@@ -79,11 +79,12 @@ def phone_spans(text: Column) -> Column:
         return let(
             piece,
             lambda p: F.transform(
-                F.filter(match_spans(p, regex), lambda m: phone_run_ok(p, m["start"], m["end"])),
+                match_spans(p, regex),
                 lambda m: F.struct(
                     (m["start"] + first).alias("start"),
                     (m["end"] + first).alias("end"),
                     m["value"].alias("value"),
+                    phone_run_ok(p, m["start"], m["end"]).alias("run_ok"),
                 ),
             ),
         )
@@ -93,14 +94,19 @@ def phone_spans(text: Column) -> Column:
         count = F.length(F.regexp_replace(run["value"], r"[^\p{Nd}]", ""))
         return (count >= 4) & ((count <= 15) | run["value"].rlike(r"[\p{Nd}&&[^0-9]]"))
 
-    runs = F.filter(match_spans(text, _PHONE_RUN), possible)
-    return _if_possible(text, _RULES["phone"], F.flatten(F.transform(runs, in_run)))
+    runs = match_spans(text, _PHONE_RUN)
+    if only_possible:
+        runs = F.filter(runs, possible)
+    found = F.flatten(F.transform(runs, in_run))
+    return F.when(text.rlike(java_regex(_RULES["phone"].needs)), found).otherwise(
+        empty("struct<start:int,end:int,value:string,run_ok:boolean>")
+    )
 
 
 def rule_spans(text: Column, name: str) -> Column:
     """Matches of one pattern rule that pass its checks, in text order."""
     if name == "phone":
-        spans = F.filter(phone_spans(text), lambda m: valid_phone(m["value"]))
+        spans = F.filter(phone_candidates(text), lambda m: m["run_ok"] & valid_phone(m["value"]))
         return F.filter(
             spans, lambda m: phone_context_ok(text, m["start"], m["end"], m["value"])
         )
@@ -247,17 +253,14 @@ def detect_signals(
 def rule_matches(documents: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
     """Every checked match of some pattern rules, as positions with a hash of the value."""
     text = searchable(F.col("text"))
-    per_rule = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    rule_spans(F.col("_text"), name),
-                    lambda m, rule=name: F.struct(F.lit(rule).alias("rule"), m.alias("m")),
-                )
-                for name in names
-            ]
+
+    def named(name: str) -> Column:
+        return F.transform(
+            rule_spans(F.col("_text"), name),
+            lambda m: F.struct(F.lit(name).alias("rule"), m.alias("m")),
         )
-    )
+
+    per_rule = F.flatten(F.array(*[named(name) for name in names]))
     return (
         documents.select(key, text.alias("_text"))
         .select(key, F.explode(per_rule).alias("x"))
@@ -286,6 +289,50 @@ def raw_spans(documents: DataFrame, regex: str, key: str = "doc_id") -> DataFram
     )
 
 
+def phone_checks(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every phone-like match with the three tests it has to pass."""
+    found = documents.select(key, searchable(F.col("text")).alias("_text"))
+    m = F.col("m")
+    return found.select(
+        key, "_text", F.explode(phone_candidates(F.col("_text"), only_possible=False)).alias("m")
+    ).select(
+        key,
+        m["start"].alias("start"),
+        m["end"].alias("end"),
+        valid_phone(m["value"]).alias("valid"),
+        m["run_ok"].alias("run_ok"),
+        phone_context_ok(F.col("_text"), m["start"], m["end"], m["value"]).alias("context_ok"),
+    )
+
+
+def amount_checks(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every amount with the test for a personal word near it."""
+    found = documents.select(key, searchable(F.col("text")).alias("_text"))
+    m = F.col("m")
+    return found.select(
+        key, "_text", F.explode(pattern_spans(F.col("_text"), "amount")).alias("m")
+    ).select(
+        key,
+        m["start"].alias("start"),
+        m["end"].alias("end"),
+        amount_context_ok(F.col("_text"), m["start"], m["end"]).alias("context_ok"),
+    )
+
+
+def scan_window(documents: DataFrame, limits: Limits, key: str = "doc_id") -> DataFrame:
+    """How much of each text a bounded scan reads."""
+    window = F.length(searchable(F.col("text"), limits.scan_chars))
+    return documents.select(
+        key, window.alias("scanned_chars"), (F.length("text") > window).alias("cut")
+    )
+
+
+def stacked_only(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Stacked-label signals before the acceptance rules."""
+    text = documents.select(key, lines(searchable(F.col("text"))).alias("_lines"))
+    return text.select(key, F.explode(stacked_signals(F.col("_lines"))).alias("s")).select(key, "s.*")
+
+
 def document_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return (
         documents.select(key, searchable(F.col("text")).alias("_text"))

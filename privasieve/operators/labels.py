@@ -286,6 +286,19 @@ def _signals_of(spans: Column, line: Column) -> Column:
     return _label_signals(ruled, line["line_number"])
 
 
+def whole_line_signals(line: Column) -> Column:
+    """Signals of a line read as one label and value, for lines without an inline signal."""
+    text = line["line"]
+    whole = F.when(text.rlike("[:：]"), _signals_of(label_line(text), line)).otherwise(empty(SIGNAL))
+    inline = _signals_of(inline_values(text), line)
+    return F.when(F.size(inline) == 0, whole).otherwise(empty(SIGNAL))
+
+
+def classified(label: Column, value: Column) -> Column:
+    """The rule of a label with a filled value: struct<type,detector,marker,confidence>, or null."""
+    return F.get(_rules(), F.when(filled_value(value), label_rule(label, value)) - 1)
+
+
 def line_signals(line: Column) -> Column:
     """Signals of one line struct: inline labels, else the whole line as label and value."""
     text = line["line"]

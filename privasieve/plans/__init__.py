@@ -1,0 +1,6 @@
+"""Registered queries. Importing a module of this package registers its queries."""
+
+from . import detection_queries, finding_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

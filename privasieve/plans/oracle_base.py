@@ -201,10 +201,14 @@ INLINE = f"""p1 AS (
   FROM {spans('ln', 'doc_id, line_number, line_start, line', 'line', _P1)} m
   WHERE NOT (regexp_matches(substring(line, s, 1), '[A-Za-z0-9_]') AND s > 0 AND regexp_matches(v, '^[A-Za-z0-9_]'))),
 p1ok AS (SELECT * FROM p1 WHERE sep <> '=' OR lower(label) IN {values(fixed.EQUALS_LABELS)}),
+p2raw AS (
+  SELECT doc_id, line_number, line_start, line, s,
+    CASE WHEN regexp_matches(substring(line, s + length(v) + 1), '^\\s+\\S') THEN v
+         WHEN lower(v) = 'passport number' THEN substring(v, 1, 8) END AS v
+  FROM {spans('ln', 'doc_id, line_number, line_start, line', 'line', _P2)} m),
 p2 AS (
   SELECT doc_id, line_number, line_start, line, s AS ms, s + length(v) AS me, {_clean('v')} AS label, '' AS sep
-  FROM {spans('ln', 'doc_id, line_number, line_start, line', 'line', _P2)} m
-  WHERE regexp_matches(substring(line, s + length(v) + 1), '^\\s+\\S')
+  FROM p2raw m WHERE v IS NOT NULL
     AND NOT (regexp_matches(substring(line, s, 1), '[A-Za-z0-9_]') AND s > 0 AND regexp_matches(v, '^[A-Za-z0-9_]'))),
 labels_in AS (
   SELECT * FROM p1ok UNION ALL

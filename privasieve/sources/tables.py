@@ -43,8 +43,7 @@ def source_documents(documents: DataFrame) -> DataFrame:
 
 def corpus(spark: SparkSession, directory: str) -> DataFrame:
     """Documents and rendered forms as one set of texts: doc_id, source, text."""
-    documents = table(spark, directory, "documents").select("doc_id", "source", "text")
-    forms = render_forms(table(spark, directory, "customer"), table(spark, directory, "nation"))
+    documents = spread(table(spark, directory, "documents").select("doc_id", "source", "text"))
+    customers = spread(table(spark, directory, "customer"))
+    forms = render_forms(customers, table(spark, directory, "nation"))
     return documents.unionByName(forms)
-
-
