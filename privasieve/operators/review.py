@@ -129,7 +129,8 @@ def outcome_counters(reviews: DataFrame, open_findings: DataFrame, reassign_clos
 
 
 def review_time(reviews: DataFrame) -> DataFrame:
-    hours = (F.unix_micros("decided_at") - F.unix_micros("opened_at")) / 3.6e9
+    decided, opened = F.col("decided_at").cast("timestamp"), F.col("opened_at").cast("timestamp")
+    hours = (F.unix_micros(decided) - F.unix_micros(opened)) / 3.6e9
     return reviews.agg(
         F.round(F.percentile(hours, F.lit(0.5)), 4).alias("median_hours"),
         F.round(F.count("*") / F.countDistinct(F.to_date("decided_at")), 4).alias("decisions_per_day"),

@@ -238,8 +238,8 @@ _WANTED_IN = (
 
 @query(
     "wsp_current_membership", "account_id varchar, membership_id varchar",
-    f"SELECT account_id, membership_id FROM (SELECT m.account_id, membership_id, row_number() OVER (PARTITION BY m.account_id ORDER BY CASE WHEN w.requested = m.workspace_id OR (w.requested IS NULL AND w.selected = m.workspace_id) THEN 0 ELSE 1 END, member_order DESC) AS n, "
-    f"w.requested, m.workspace_id, CASE WHEN m.workspace_id = coalesce(w.requested, w.selected) THEN -member_order END AS first_order FROM ({MEMBERS_IN}) m JOIN ({_WANTED_IN.replace('{m}', MEMBERS_IN)}) w USING (account_id) "
+    f"SELECT account_id, membership_id FROM (SELECT m.account_id, membership_id, row_number() OVER (PARTITION BY m.account_id ORDER BY CASE WHEN coalesce(w.requested, w.selected, '') = m.workspace_id THEN 0 ELSE 1 END, CASE WHEN coalesce(w.requested, w.selected, '') = m.workspace_id THEN member_order ELSE -member_order END) AS n, "
+    f"w.requested FROM ({MEMBERS_IN}) m JOIN ({_WANTED_IN.replace('{m}', MEMBERS_IN)}) w USING (account_id) "
     f"WHERE m.status = 'active' AND m.workspace_id IN (SELECT workspace_id FROM ({WORKSPACES_IN}) x WHERE status = 'active') AND (w.requested IS NULL OR w.requested = m.workspace_id)) r WHERE n = 1",
 )
 def current(spark, directory):
@@ -534,10 +534,19 @@ def reproducibility(spark, directory):
     return evaluate.reproducible_share(runs, runs.withColumn("fingerprint", other))
 
 
-@query("evl_corpus_manifest", "path varchar, state varchar")
+@query(
+    "evl_corpus_manifest", "path varchar, state varchar",
+    "SELECT concat('doc_', doc_id) AS path, CASE WHEN doc_id % 9 = 4 THEN 'untracked' WHEN doc_id % 9 = 5 THEN 'different' ELSE 'equal' END AS state FROM documents "
+    "UNION ALL SELECT concat('gone_', doc_id), 'missing' FROM documents WHERE doc_id % 9 = 4",
+)
 def corpus_manifest(spark, directory):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory).withColumn("path", F.element_at(F.split("path", "/"), -1))
-    manifest = files.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    content = F.encode(F.col("text"), "UTF-8")
+    docs = table(spark, directory, "documents").select("doc_id", F.concat(F.lit("doc_"), "doc_id").alias("path"), content.alias("content"))
+    files = docs.withColumn("length", F.length("content").cast("long"))
+    # In the manifest one file in nine went by another name and one had another checksum.
+    tracked = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("gone_"), "doc_id")).otherwise(F.col("path"))
+    checksum = F.when(F.col("doc_id") % 9 == 5, F.lit("0")).otherwise(F.sha2("content", 256))
+    manifest = files.select(tracked.alias("path"), F.col("length").alias("byte_size"), checksum.alias("sha256"))
     return evaluate.manifest_check(files, manifest)
 
 
