@@ -228,13 +228,17 @@ def xml_scalars(spark, directory):
     return extract.extracted(_rendered(spark, directory, _XML), extract.xml_scalars(F.col("text")))
 
 
+_TRIM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _HTML_SQL = (
-    "SELECT page_id AS doc_id, count(*) AS nodes, sum(length(v)) AS chars FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(u, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS v FROM "
-    "(SELECT page_id, unnest(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)([^>]*)>(.*?)</', '<t>\\3</', 'g'), '<[^>]*>')) AS u FROM pages) t) n WHERE v <> '' GROUP BY page_id"
+    "SELECT doc_id, count(*) AS nodes, sum(length(v)) AS chars FROM (SELECT page_id AS doc_id, "
+    + _TRIM.format("replace(replace(replace(replace(replace(replace(replace(u, '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')")
+    + " AS v FROM (SELECT page_id, unnest(string_split_regex(regexp_replace(h, '(?is)<(script|style)[^>]*>.*?</(script|style)', '<t></t', 'g'), '<[^>]*>')) AS u FROM bare) t "
+    "UNION ALL SELECT page_id, " + _TRIM.format("s") + " FROM (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<(?:script|style)[^>]*>(.*?)</(?:script|style)', 1)) AS s FROM bare) x) n WHERE v <> '' GROUP BY doc_id"
 )
 
 
-@query("ext_html_text", "doc_id bigint, nodes bigint, chars bigint", _HTML_SQL)
+@query("ext_html_text", "doc_id bigint, nodes bigint, chars bigint", _HTML_SQL,
+       "bare AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages)")
 def html_text(spark, directory):
     pages = spread(table(spark, directory, "pages")).select(F.col("page_id").alias("doc_id"), extract.html_texts(F.col("html")).alias("f"))
     return pages.select("doc_id", F.size("f").alias("nodes"), F.aggregate("f", F.lit(0), lambda a, x: a + F.length(x["text"])).alias("chars")).filter("nodes > 0")
