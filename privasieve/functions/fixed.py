@@ -61,25 +61,25 @@ PATTERN_RULES = (
     PatternRule("iban", "iban_like", "iban_like_pattern", "[REDACTED_FINANCIAL_ID]", 0.91, IBAN, needs=r"[A-Z]{2}\d{2}"),
     PatternRule("phone", "phone_number", "phone_number_pattern", "[REDACTED_PHONE]", 0.88, PHONE, needs=r"\d{2}"),
     PatternRule("employee_id", "employee_id", "employee_id_pattern", "[REDACTED_EMPLOYEE_ID]", 0.87, EMPLOYEE_ID, True,
-                needs=r"[eEpP]-\d{3}"),
+                needs=r"-\d{3}"),
     PatternRule("tax_id", "tax_id", "tax_id_pattern", "[REDACTED_TAX_ID]", 0.84, TAX_ID, True,
                 needs=r"[aA][xXtT]\s*[iIİı][dD]"),
     PatternRule("amount", "expense_amount", "currency_amount_pattern", "[REDACTED_AMOUNT]", 0.82, AMOUNT,
                 needs="EUR|USD|GBP|CHF"),
-    PatternRule("ssn", "national_identifier", "ssn_pattern", "[REDACTED_NATIONAL_ID]", 0.88, SSN, needs=r"\d-\d{2}-\d"),
+    PatternRule("ssn", "national_identifier", "ssn_pattern", "[REDACTED_NATIONAL_ID]", 0.88, SSN, needs=r"-\d{2}-"),
     PatternRule("uk_nino", "national_identifier", "uk_nino_pattern", "[REDACTED_NATIONAL_ID]", 0.83, UK_NINO, True,
                 needs=r"\d{2}\s?\d{2}\s?\d{2}"),
     PatternRule("ipv4", "online_identifier", "ipv4_pattern", "[REDACTED_IP_ADDRESS]", 0.8, IPV4,
-                needs=r"\d\.\d{1,3}\.\d"),
+                needs=r"\.\d{1,3}\."),
     PatternRule("ipv6", "online_identifier", "ipv6_pattern", "[REDACTED_IP_ADDRESS]", 0.76, IPV6,
-                needs="[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+                needs=":[0-9A-Fa-f]{1,4}:"),
     PatternRule("mac", "device_identifier", "mac_address_pattern", "[REDACTED_DEVICE_ID]", 0.84, MAC,
-                needs="[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]"),
+                needs="[:-][0-9A-Fa-f]{2}[:-]"),
     PatternRule("uuid", "online_identifier", "uuid_pattern", "[REDACTED_ONLINE_ID]", 0.76, UUID,
-                needs="[0-9A-Fa-f]{4}-[1-5]"),
+                needs="-[1-5][0-9A-Fa-f]{3}-"),
     PatternRule("payment_card", "payment_card", "payment_card_luhn_pattern", "[REDACTED_PAYMENT_CARD]", 0.9, PAYMENT_CARD,
                 needs=r"(?:\d[ -]*){13}"),
-    PatternRule("geo", "location_data", "geo_coordinate_pattern", "[REDACTED_LOCATION]", 0.82, GEO, needs=r"\d\s*,\s*[-+]?\d"),
+    PatternRule("geo", "location_data", "geo_coordinate_pattern", "[REDACTED_LOCATION]", 0.82, GEO, needs=r",\s*[-+]?\d"),
     PatternRule("url", "url", "url_pattern", "[REDACTED_URL]", 0.68, URL, True, needs="://"),
     PatternRule("handle", "account_handle", "account_handle_pattern", "[REDACTED_HANDLE]", 0.7, HANDLE, needs="@"),
 )

@@ -70,13 +70,28 @@ def literal_alternation(words: Iterable[str]) -> str:
 
 
 def _trie_regex(node: dict) -> str:
-    branches = [_quote(c) + _trie_regex(child) for c, child in sorted(node.items()) if c]
+    branches = {c: _quote(c) + _trie_regex(child) for c, child in sorted(node.items()) if c}
     if not branches:
         return ""
-    body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+    body = _branches(branches)
+    if "" in node and not body.startswith("(?:"):
+        body = f"(?:{body})"
     return body + "?" if "" in node else body
 
 
+def _branches(branches: dict[str, str]) -> str:
+    """An alternation. A long one is cut into parts that a look at the next character can skip."""
+    if len(branches) == 1:
+        return next(iter(branches.values()))
+    if len(branches) <= 6:
+        return f"(?:{'|'.join(branches.values())})"
+    chars = list(branches)
+    size = -(-len(chars) // 6)
+    parts = [chars[i : i + size] for i in range(0, len(chars), size)]
+    looks = [f"(?=[{''.join(map(_quote, p))}]){_branches({c: branches[c] for c in p})}" for p in parts]
+    return f"(?:{'|'.join(looks)})"
+
+
 def _quote(char: str) -> str:
     return char if char.isalnum() or char in " _'" else "\\" + char
 
@@ -239,8 +254,9 @@ _FOLD_FROM, _FOLD_TO = _fold_table()
 
 def fold(label: Column) -> Column:
     """Accent-, width- and case-blind form of a label."""
-    plain = F.translate(F.regexp_replace(label, r"\p{M}", ""), _FOLD_FROM, _FOLD_TO)
-    return clean_label(F.replace(plain, F.lit("ß"), F.lit("ss")))
+    bare = F.translate(F.regexp_replace(label, r"\p{M}", ""), _FOLD_FROM, _FOLD_TO)
+    folded = F.replace(bare, F.lit("ß"), F.lit("ss"))
+    return clean_label(F.when(label.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(label)))
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

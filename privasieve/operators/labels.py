@@ -58,39 +58,55 @@ _LABEL = "struct<label_start:int,match_end:int,label:string,separator:string>"
 _STACKED_KEYS = sorted({fold_text(w) for w in fixed.STACKED_LABELS + fixed.MULTILINGUAL_WORDS})
 
 
+_STOP = 0
+_LATE_RULES = tuple(r for r in fixed.ENGLISH_RULES if r.test == "person" or "company" in r.words)
+_EARLY_RULES = tuple(r for r in fixed.ENGLISH_RULES if r not in _LATE_RULES)
+
+
 def label_rule(label: Column, value: Column) -> Column:
     """Number (from 1) of the first rule for a label, null if there is none.
 
     Rules that look at the value come in the same order; a passport label whose value is no
-    passport number ends the search without a rule.
+    passport number ends the search without a rule. Three pattern tests decide which group of
+    rules can match at all, so most labels are tested against few rules.
     """
 
-    def choose(keys: Column) -> Column:
-        folded, plain = keys["folded"], keys["plain"]
+    def test(rule: fixed.LabelRule, folded: Column, plain: Column) -> Column:
+        if rule in fixed.MULTILINGUAL_RULES:
+            return contains_any(folded, [fold_text(w) for w in rule.words])
+        if rule.test == "equals":
+            return plain.isin(*rule.words)
+        if rule.test == "handle":
+            return plain.isin(*rule.words) & handle_value(value)
+        if rule.test == "employee":
+            return contains_any(plain, rule.words) | value.rlike(EMPLOYEE_VALUE)
+        if rule.test == "person":
+            return (
+                contains_any(plain, rule.words)
+                & ~contains_any(plain, fixed.NOT_A_PERSON_LABEL)
+                & ~contains_any(F.lower(value), fixed.NOT_A_PERSON_VALUE)
+            )
+        return contains_any(plain, rule.words)
+
+    def first(rules: tuple, folded: Column, plain: Column) -> Column:
         chosen = None
-        for number, rule in enumerate(LABEL_RULES, start=1):
-            hit: Column | int = F.lit(number)
-            if rule in fixed.MULTILINGUAL_RULES:
-                found = contains_any(folded, [fold_text(w) for w in rule.words])
-            elif rule.test in ("equals", "handle"):
-                found = plain.isin(*rule.words)
-            else:
-                found = contains_any(plain, rule.words)
+        for rule in rules:
+            number = F.lit(LABEL_RULES.index(rule) + 1)
             if rule.test == "passport":
-                hit = F.when(value.rlike(PASSPORT_VALUE), F.lit(number))
-            elif rule.test == "employee":
-                found = found | value.rlike(EMPLOYEE_VALUE)
-            elif rule.test == "handle":
-                found = found & handle_value(value)
-            elif rule.test == "person":
-                found = (
-                    found
-                    & ~contains_any(plain, fixed.NOT_A_PERSON_LABEL)
-                    & ~contains_any(F.lower(value), fixed.NOT_A_PERSON_VALUE)
-                )
-            chosen = F.when(found, hit) if chosen is None else chosen.when(found, hit)
+                number = F.when(value.rlike(PASSPORT_VALUE), number).otherwise(_STOP)
+            found = test(rule, folded, plain)
+            chosen = F.when(found, number) if chosen is None else chosen.when(found, number)
         return chosen
 
+    def choose(keys: Column) -> Column:
+        folded, plain = keys["folded"], keys["plain"]
+        foreign = contains_any(folded, [fold_text(w) for w in fixed.MULTILINGUAL_WORDS])
+        early = contains_any(plain, [w for r in _EARLY_RULES for w in r.words]) | value.rlike(EMPLOYEE_VALUE)
+        number = F.when(foreign, first(fixed.MULTILINGUAL_RULES, folded, plain)).otherwise(
+            F.coalesce(F.when(early, first(_EARLY_RULES, folded, plain)), first(_LATE_RULES, folded, plain))
+        )
+        return F.nullif(number, F.lit(_STOP))
+
     keys = F.struct(fold(label).alias("folded"), F.lower(clean_label(label)).alias("plain"))
     return let(keys, choose)
 
@@ -339,7 +355,7 @@ def stacked_values(lines: Column) -> Column:
     def with_labels(labels: Column) -> Column:
         def one(i: Column) -> Column:
             below = F.slice(lines, i + 2, F.lit(3))
-            first = F.element_at(F.filter(below, lambda b: strip(b["line"]) != ""), 1)
+            first = F.get(F.filter(below, lambda b: strip(b["line"]) != ""), F.lit(0))
 
             def span(v: Column) -> Column:
                 value = strip(v["line"])
@@ -355,7 +371,7 @@ def stacked_values(lines: Column) -> Column:
                     ),
                 )
 
-            return let(F.when(F.size(below) > 0, first), span)
+            return let(first, span)
 
         at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: labels[i].isNotNull())
         return F.filter(F.transform(at, one), lambda s: s.isNotNull())
