@@ -569,7 +569,19 @@ def preview_stats(spark, directory):
                       F.array_join(F.array_sort(F.collect_set("file_format")), "|").alias("formats"))
 
 
-@query("red_full_document", "doc_id bigint, masked_hash varchar, chars int")
+def _scrub_lines(v: str) -> str:
+    return f"array_to_string(list_transform(string_split({v}, chr(10)), lambda l: {sql_scrub_labels(sql_scrub_numbers('l'))}), chr(10))"
+
+
+_WHOLE = f"""wp AS (SELECT a.doc_id, row_number() OVER w AS n, regexp_extract(a.snippet, '\\[REDACTED_[A-Z0-9_]+\\]') AS marker, a.s AS b, a.e AS f, text,
+    coalesce(max(a.e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur
+  FROM anc a JOIN corpus USING (doc_id) WINDOW w AS (PARTITION BY a.doc_id ORDER BY a.s, a.e, a.anchor_id)),
+wb AS (SELECT doc_id, max(f) AS last, string_agg(CASE WHEN f > cur THEN CASE WHEN b > cur THEN {_scrub_lines('substring(text, cur + 1, b - cur)')} ELSE '' END || marker ELSE '' END, '' ORDER BY n) AS body FROM wp GROUP BY 1),
+wm AS (SELECT doc_id, coalesce(body, '') || CASE WHEN length(text) > coalesce(last, 0) THEN {_scrub_lines('substring(text, coalesce(last, 0) + 1)')} ELSE '' END AS m FROM corpus LEFT JOIN wb USING (doc_id))"""
+
+
+@query("red_full_document", "doc_id bigint, masked_hash varchar, chars int",
+       "SELECT doc_id, substring(sha256(m), 1, 16) AS masked_hash, length(m) AS chars FROM wm", f"{ANCHORS}, {_WHOLE}")
 def full_document(spark, directory):
     masked = redact.masked_documents(detect.with_signals(corpus(spark, directory)))
     return masked.select("doc_id", short_hash(F.col("masked_text"), 16).alias("masked_hash"), F.length("masked_text").alias("chars"))

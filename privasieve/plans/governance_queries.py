@@ -420,7 +420,7 @@ def timeline(spark, directory):
 # --- evaluation --------------------------------------------------------------------------------
 # The golden set: what each form shape must give, read off the rules by hand.
 EXPECTED = (
-    (), ("email", "person_name", "phone_number"), ("employee_id", "salary_compensation"), ("email", "online_identifier"), ("iban_like",),
+    (), ("email", "person_name", "phone_number"), ("employee_id", "salary_compensation"), ("email", "online_identifier"), ("iban_like", "tax_id"),
     ("national_identifier",), ("device_identifier", "online_identifier"), ("expense_amount",), ("url",), ("account_handle", "email"),
     ("location_data", "online_identifier"), ("passport_number",), ("driver_license", "person_name", "phone_number"), ("payment_card",),
     ("person_name",), ("credential_secret", "organization_identifier"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
 from ..streaming import jobs
+from .oracle_base import SIGNALS
 from .registry import positions, query
 
 
@@ -20,13 +21,17 @@ def _events(spark, directory):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stm_detect", "doc_id bigint, seq int, type varchar, start_pos int, end_pos int")
+_OF_DOCUMENTS = "FROM sig WHERE doc_id IN (SELECT doc_id FROM documents)"
+
+
+@query("stm_detect", "doc_id bigint, seq int, type varchar, start_pos int, end_pos int",
+       f"SELECT doc_id, seq, type, s AS start_pos, e AS end_pos {_OF_DOCUMENTS}", SIGNALS)
 def detect(spark, directory):
     documents = jobs.read_stream(spark, directory, "documents.parquet")
     return positions(jobs.detect_stream(spark, documents, _folder(spark)))
 
 
-@query("stm_delta", "doc_id bigint, seq int, type varchar, batch_id bigint")
+@query("stm_delta", "doc_id bigint, seq int, type varchar, batch_id bigint", f"SELECT doc_id, seq, type, 0 AS batch_id {_OF_DOCUMENTS}", SIGNALS)
 def delta(spark, directory):
     documents = jobs.read_stream(spark, directory, "documents.parquet")
     files = documents.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))).withColumn("size_bytes", F.octet_length("text"))
@@ -57,7 +62,7 @@ def sessions(spark, directory):
     return jobs.review_sessions(spark, _events(spark, directory), _folder(spark))
 
 
-@query("stm_idempotent", "key varchar, copies bigint")
+@query("stm_idempotent", "key varchar, copies bigint", "SELECT DISTINCT concat(user_id, '_', event_type) AS key, 1 AS copies FROM events")
 def idempotent(spark, directory):
     keyed = _events(spark, directory).withColumn("key", F.concat_ws("_", F.col("user_id").cast("string"), "event_type"))
     return jobs.first_of_key(spark, keyed, _folder(spark), "key").groupBy("key").agg(F.count("*").alias("copies"))

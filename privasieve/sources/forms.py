@@ -30,7 +30,8 @@ FORM_SHAPES = (
            f"concat('Phone: +49 30 ', {_pad('k', 7)})"),
     _lines(f"concat('Employee ID: EMP-', {_pad('k', 5)})", "concat('Salary: EUR ', 10000 + k % 90000)"),
     "concat('contact u', k, '@example.org or 192.168.', k % 256, '.', k % 199)",
-    f"concat('transfer to DE', {_pad('k % 97', 2)}, {_pad('k', 18)}, ' soon')",
+    _lines(f"concat('transfer to DE', {_pad('k % 97', 2)}, {_pad('k', 18)}, ' soon')",
+           f"concat('our tax id DE', {_pad('k', 9)})"),
     _lines(f"concat('on file ', {_pad('k % 1000', 3)}, '-', {_pad('k % 97', 2)}, '-', {_pad('k', 4)})",
            f"concat('and AB ', {_pad('k % 100', 2)}, ' ', {_pad('k % 97', 2)}, ' ', {_pad('k % 89', 2)}, ' C')"),
     _lines(f"concat('seen 0a:1b:2c:3d:', {_pad('k % 89', 2)}, ':ff')",
