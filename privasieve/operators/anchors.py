@@ -46,18 +46,31 @@ def signal_line_numbers(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+BUCKET_CHARS = 4096
+
+
+def _buckets(start: Column, end: Column) -> Column:
+    """Numbers of the stretches of text that a span touches."""
+    last = F.greatest(start, end - 1)
+    return F.sequence((start / BUCKET_CHARS).cast("int"), (last / BUCKET_CHARS).cast("int"))
+
+
 def locate(signals: DataFrame, locations: DataFrame, key: str = "doc_id") -> DataFrame:
     """The first location (by ordinal) of the document that contains the signal, if any.
 
-    Joined by document, where both sides are small; signals without a location stay.
+    Both sides meet by document and stretch of text, so a document with very many locations and
+    signals compares only neighbours and can be spread over tasks. Signals without a location stay.
     """
-    joined = signals.alias("s").join(
-        locations.alias("l"),
+    places = locations.withColumn("bucket", F.explode(_buckets(F.col("loc_start"), F.col("loc_end") + 1)))
+    marked = signals.withColumn("bucket", (F.col("start") / BUCKET_CHARS).cast("int"))
+    joined = marked.alias("s").join(
+        places.alias("l"),
         (F.col(f"s.{key}") == F.col(f"l.{key}"))
+        & (F.col("s.bucket") == F.col("l.bucket"))
         & (F.col("l.loc_start") <= F.col("s.start"))
         & (F.col("s.end") <= F.col("l.loc_end")),
         "left",
-    ).select("s.*", "l.loc_ordinal", "l.loc_start", "l.loc_label")
+    ).select(*[F.col(f"s.{c}").alias(c) for c in signals.columns], "l.loc_ordinal", "l.loc_start", "l.loc_label")
     first = F.min_by(F.struct("loc_ordinal", "loc_start", "loc_label"), "loc_ordinal")
     return (
         joined.groupBy(*signals.columns).agg(first.alias("loc"))
@@ -86,10 +99,18 @@ def line_column(line_starts: Column, position: Column, base_line: Column, base_c
 
 
 def region_union(regions: DataFrame, signals: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Bounding box of the page regions a signal overlaps, with the attributes of the first one."""
-    joined = signals.alias("s").join(
-        regions.alias("r"),
+    """Bounding box of the page regions a signal overlaps, with the attributes of the first one.
+
+    Joined like `locate`; a pair that shares several stretches counts in the one where its overlap begins.
+    """
+    marked = signals.withColumn("bucket", F.explode(_buckets(F.col("start"), F.col("end"))))
+    boxes = regions.withColumn("bucket", F.explode(_buckets(F.col("region_start"), F.col("region_end"))))
+    begins = (F.greatest(F.col("s.start"), F.col("r.region_start")) / BUCKET_CHARS).cast("int")
+    joined = marked.alias("s").join(
+        boxes.alias("r"),
         (F.col(f"s.{key}") == F.col(f"r.{key}"))
+        & (F.col("s.bucket") == F.col("r.bucket"))
+        & (F.col("s.bucket") == begins)
         & (F.col("r.region_start") < F.col("s.end"))
         & (F.col("s.start") < F.col("r.region_end")),
     )

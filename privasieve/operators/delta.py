@@ -56,7 +56,11 @@ def compare(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def changed_documents(files: DataFrame, comparison: DataFrame) -> DataFrame:
-    """Documents to scan again. The text stays where it is read: the changed keys are joined to it."""
+    """Documents to scan again.
+
+    A short list of changed keys is broadcast by adaptive execution, and the text is not moved. A long
+    one is shuffled with the text, where a run-time Bloom filter can take out most unchanged files first.
+    """
     changed = comparison.filter(F.col("change").isin("new", "modified")).select("file_key")
     return files.withColumn("file_key", file_key(F.col("path"))).join(changed, "file_key", "left_semi")
 

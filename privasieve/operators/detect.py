@@ -128,16 +128,22 @@ def line_number_at(text: Column, start: Column) -> Column:
 
 
 def first_per_key(signals: Column) -> Column:
-    """Keep the first signal of every (type, snippet)."""
-    key = F.transform(signals, lambda s: F.concat_ws("\u0001", s["type"], s["snippet"]))
-    return let(
-        key,
-        lambda keys: F.transform(
-            F.array_distinct(keys),
-            lambda k: F.element_at(signals, F.array_position(keys, k).cast("int")),
-        ),
+    """Keep the first signal of every (type, snippet), in order. Sorts, so long arrays stay cheap."""
+    keyed = F.transform(
+        signals,
+        lambda s, i: F.struct(s["type"].alias("type"), s["snippet"].alias("snippet"), i.alias("at"), s.alias("signal")),
     )
 
+    def firsts(rows: Column) -> Column:
+        def is_first(r: Column, i: Column) -> Column:
+            before = F.get(rows, i - 1)
+            return (i == 0) | (before["type"] != r["type"]) | (before["snippet"] != r["snippet"])
+
+        kept = F.transform(F.filter(rows, is_first), lambda r: F.struct(r["at"], r["signal"]))
+        return F.transform(F.array_sort(kept), lambda r: r["signal"])
+
+    return F.when(F.size(signals) < 2, signals).otherwise(let(F.array_sort(keyed), firsts))
+
 
 def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
