@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .shared import ship
 
 # What a worker remembers; more only costs time.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 120_000
 KEPT_LENGTH = 48
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 250_000
 NEVER = 1 << 40
 _coders: dict[tuple[int, str], ByteBpe] = {}
 
@@ -64,14 +65,18 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self)
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.prefixes: dict[int, int] = {}
         self.made_of: dict[int, tuple[int, ...]] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        automaton = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+        automaton.make_automaton()
+        return automaton
+
     def merge(self, data: bytes, down_to: int = 1) -> list[int]:
         """Merges by rank, as defined, until `down_to` parts are left: only for the bytes of a token or two."""
         parts = [data[i : i + 1] for i in range(len(data))]
