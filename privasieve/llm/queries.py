@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, topk
+from . import bpe, fingerprint, mixing, pii, secret_scan, sharding, topk
 from .oracles import ORACLES
 from .shared import documents, table
 
@@ -24,14 +24,31 @@ def op4_exact_topk(spark: SparkSession, directory: str) -> DataFrame:
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op5_iblt_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, directory))
+
+
+def op6_weak_supervision_pii(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.report(pii.find(documents(spark, directory)))
+
+
 def op8_minimax_shards(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.shard(documents(spark, directory)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def op9_markov_secrets(spark: SparkSession, directory: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find(documents(spark, directory)))
+
+
 def op10_source_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(documents(spark, directory))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_exact_topk, op8_minimax_shards, op10_source_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_byte_bpe, op4_exact_topk, op5_iblt_fingerprints, op6_weak_supervision_pii, op8_minimax_shards, op9_markov_secrets, op10_source_mix,
+    )
+}

@@ -61,6 +61,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def held(frame: DataFrame, *columns) -> DataFrame:
+    """A select whose columns are worked out once, behind a one-row generator: the optimizer does not copy their
+    expressions into the places that use them."""
+    return frame.select(F.inline(F.array(F.struct(*columns))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
