@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, pii, secret_scan, sharding, topk
+from . import bpe, fingerprint, jaccard, mixing, pii, quality, secret_scan, sharding, topk
 from .oracles import ORACLES
 from .shared import documents, table
 
@@ -19,6 +19,12 @@ def op2_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path, public_tokenizers.PATTERN))
 
 
+def op3_conv_quality(spark: SparkSession, directory: str) -> DataFrame:
+    docs = documents(spark, directory)
+    scored = quality.score(docs, quality.train(docs, table(spark, directory, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
+
+
 def op4_exact_topk(spark: SparkSession, directory: str) -> DataFrame:
     vectors = table(spark, directory, "embeddings")
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
@@ -32,6 +38,10 @@ def op6_weak_supervision_pii(spark: SparkSession, directory: str) -> DataFrame:
     return pii.report(pii.find(documents(spark, directory)))
 
 
+def op7_prefix_jaccard(spark: SparkSession, directory: str) -> DataFrame:
+    return jaccard.join(documents(spark, directory))
+
+
 def op8_minimax_shards(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.shard(documents(spark, directory)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -49,6 +59,7 @@ def op10_source_mix(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_byte_bpe, op4_exact_topk, op5_iblt_fingerprints, op6_weak_supervision_pii, op8_minimax_shards, op9_markov_secrets, op10_source_mix,
+        op2_byte_bpe, op3_conv_quality, op4_exact_topk, op5_iblt_fingerprints, op6_weak_supervision_pii, op7_prefix_jaccard, op8_minimax_shards,
+        op9_markov_secrets, op10_source_mix,
     )
 }
