@@ -18,7 +18,8 @@ Sets with equal content are one entity from the start (named by a 64-bit hash of
 under one key (a bucket) are first compared with its smallest member only; verified links make components. Then all pairs
 of a bucket that lie in different components and are not compared yet are verified too. No link between different
 components is lost, and no pairs are made within a group of near copies. Buckets are read as sorted streams, those of
-pairs are split by salt, and no task holds a bucket in memory.
+pairs are split by salt, and no task holds a bucket in memory. Before texts are read for a comparison, counts of tokens by
+hash range (256 bytes for a set) rule out pairs that cannot be similar.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; with one to four words the
 whole sequence is the only shingle. Rows without an id get no component. Rows that repeat an id belong together.
@@ -43,6 +44,7 @@ LEAST_FREQUENCY = 48
 MOST_FREQUENT = 500_000  # bound of the broadcast set of frequent tokens
 FLUSH = 2_000_000
 SALTS = 16
+BROADCAST_ROWS = 500_000  # ids of 16 bytes
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -66,6 +68,11 @@ def set_key(tokens: np.ndarray) -> int:
     return int(grams(both, 3).astype(np.int64)[0])
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of 256 ranges of hashes, up to 255."""
+    return np.minimum(np.bincount((tokens >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
@@ -98,7 +105,7 @@ def pair_keys(frequent: np.ndarray, room: int, n: int) -> np.ndarray:
 
 def _members_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, key) of documents; rows (token, seen, all) of tokens met more than once."""
-    names = ["doc_id", "n", "key", "token", "seen", "total"]
+    names = ["doc_id", "n", "key", "sketch", "token", "seen", "total"]
     pool: list[np.ndarray] = []
     known: set[int] = set()
 
@@ -111,21 +118,22 @@ def _members_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         none = pa.nulls(len(tokens), pa.int64())
         pool.clear()
         known.clear()
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(totals)], names)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(totals)], names)
 
     size = 0
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, sketches = [], [], []
         for tokens in shingle_sets(texts_of(batch.column(1))):
             n = len(tokens)
             sizes.append(n)
             keys.append(set_key(tokens) if n else None)
+            sketches.append(sketch(tokens))
             if n >= NUMERATOR and keys[-1] not in known:
                 known.add(keys[-1])
                 pool.append(tokens[: prefix_length(n)])
                 size += len(pool[-1])
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none, none], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()), none, none, none], names)
         if size >= FLUSH:
             yield counts()
             size = 0
@@ -228,25 +236,61 @@ def crossing_pairs(found: DataFrame, labels: DataFrame, compared: DataFrame) ->
     return distinct.join(compared, ["a", "b"], "left_anti")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar: sizes of intersection and union are counted on whole sets."""
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops pairs whose range counts prove them unlike: no more tokens can be shared than the smaller count of each range."""
+    for batch in batches:
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
+        common = np.minimum(left, right).sum(1, dtype=np.int64)
+        total = left.sum(1, dtype=np.int64) + right.sum(1, dtype=np.int64)
+        full = (left == 255).any(1) | (right == 255).any(1)
+        keep = full | (DENOMINATOR * common >= NUMERATOR * (total - common))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, U))
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in range(2))
-            alike = np.zeros(len(a), bool)
-            left = batch.column(2)
-            for i, right in enumerate(shingle_sets(texts_of(batch.column(3)))):
-                if held[0] != a[i]:
-                    held = (a[i], next(shingle_sets(texts_of(left.slice(i, 1)))))
-                common = len(np.intersect1d(held[1], right, assume_unique=True))
-                alike[i] = DENOMINATOR * common >= NUMERATOR * (len(held[1]) + len(right) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a[alike]), pa.array(b[alike])], ["a", "b"])
-
-    second = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
+
+def possible(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    both = pairs.join(names.select(F.col("key").alias("a"), F.col("sketch").alias("left")), "a").join(
+        names.select(F.col("key").alias("b"), F.col("sketch").alias("right")), "b"
+    )
+    return both.select("a", "b", "left", "right").mapInArrow(_possible, "a long, b long")
+
+
+def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) of the rows whose set has the wanted name: a row that repeats an id may have another text."""
+    last = None
+    for batch in batches:
+        same = []
+        for tokens, key in zip(shingle_sets(texts_of(batch.column(1))), batch.column(0).to_pylist()):
+            same.append(key != last and len(tokens) > 0 and set_key(tokens) == key)
+            last = key if same[-1] else last
+        yield batch.filter(pa.array(same, pa.bool_()))
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar: intersection and union are counted on whole sets."""
+    held: tuple[int | None, np.ndarray] = (None, np.zeros(0, U))
+    for batch in batches:
+        a, b = (batch.column(i).to_numpy() for i in range(2))
+        alike = np.zeros(len(a), bool)
+        left = batch.column(2)
+        for i, right in enumerate(shingle_sets(texts_of(batch.column(3)))):
+            if held[0] != a[i]:
+                held = (a[i], next(shingle_sets(texts_of(left.slice(i, 1)))))
+            common = len(np.intersect1d(held[1], right, assume_unique=True))
+            alike[i] = DENOMINATOR * common >= NUMERATOR * (len(held[1]) + len(right) - common)
+        yield pa.RecordBatch.from_arrays([pa.array(a[alike]), pa.array(b[alike])], ["a", "b"])
+
+
+def verified(pairs: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """The similar ones of the pairs (a, b). Texts are read again for the sets that are still possible."""
+    near = settle(possible(pairs, names))
+    keys = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    wanted = settle(keys.join(names.select("key", "doc_id"), "key"))
+    # A list of ids of known, small size saves sending all texts; a longer one is joined like any table.
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = settle(known.join(side, "doc_id").select("key", "text").mapInArrow(_own_text, "key long, text string"))
+    second = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
     both = second.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return settle(both.select("a", "b", "a_text", "b_text").mapInArrow(_alike, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -280,30 +324,18 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach). One row per row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    counted = settle(rows.mapInArrow(_members_and_counts, "doc_id long, n long, key long, token long, seen long, total long"))
+    counted = settle(rows.mapInArrow(_members_and_counts, "doc_id long, n long, key long, sketch binary, token long, seen long, total long"))
     members = counted.filter("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "key")
     total = counted.agg(F.sum("total")).first()[0] or 0
     often = counted.filter("seen > 0").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= max(LEAST_FREQUENCY, -(-total // MOST_FREQUENT)))
     frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).astype(U))
     known = rows.filter("doc_id IS NOT NULL")
     found = settle(buckets(signatures(known, frequent)))
-    names = members.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = found.filter("NOT paired OR key <> head").select("key").unionByName(found.select(F.col("head").alias("key"))).distinct()
-    chosen = names.join(wanted, "key")
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row that repeats an id may have another text: its set has another name."""
-        for batch in batches:
-            same = [len(s) > 0 and set_key(s) == k for s, k in zip(shingle_sets(texts_of(batch.column(1))), batch.column(0).to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    fetched = known.join(chosen, "doc_id").select("key", "text").mapInArrow(own_text, "key long, text string")
-    texts = settle(fetched.dropDuplicates(["key"]))
+    names = counted.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     compared = settle(star_pairs(found))
-    links = settle(verified(compared, texts))
-    labels = settle(components(links))
-    links = links.unionByName(settle(verified(crossing_pairs(found, labels, compared), texts)))
-    labels = components(links)
+    links = verified(compared, names, known)
+    crossing = crossing_pairs(found, settle(components(links)), compared)
+    labels = settle(components(links.unionByName(verified(crossing, names, known))))
     tied = names.join(labels, "key").select("key", "label", "doc_id")
     least = tied.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_key = names.join(tied.select("key", "label").join(least, "label").select("key", "component_id"), "key", "left").select(
