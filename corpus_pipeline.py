@@ -1,3 +1,82 @@
+"""A corpus from raw documents to token ids, in five stages over whole tables.
+
+Each stage is a function of (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return
+the columns of `documents`. `run` applies them in order; between stages the rows are written as Parquet to the folder that
+all executors share and read again.
+
+Rows without an id leave in the first stage, as no later result could name them. Columns beyond those of `documents` are
+left out. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from privasieve.llm import bpe, jaccard, mixing, pii, quality
+from privasieve.llm.shared import documents, table, use_shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+#: No SQL can express the trained network of the first stage, so none can express the rows of the last.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    docs = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull())
+    network = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.withColumn("whole", F.col("text")), network, keep=("whole", "lang", "source", "n_chars"))
+    kept = scored.filter(quality.predicted(F.col("score")) == 1)
+    return kept.withColumnRenamed("whole", "text").select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates; of rows that repeat an id, one."""
+    others = jaccard.join(docs).filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    kept = docs.join(others, "doc_id", "left_anti").withColumn("place", first).filter("place = 1")
+    return kept.select(*COLUMNS)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data masked."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as their source's budget takes them, the last one of a source cut to the rest."""
+    mix = mixing.draw(docs, mixing.mix(docs))
+    return mix.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), and the digests of the ids and of the bytes that
+    they decode to."""
+    path = public_tokenizers.path(VOCABULARY)
+    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("personal_data", without_personal_data),
+    ("mix", mixed_sources),
+    ("tokens", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use_shared_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, mixing, pii, quality, secret_scan, sharding, topk
+from . import bpe, fingerprint, jaccard, mixing, pii, quality, repeats, secret_scan, sharding, topk
 from .oracles import ORACLES
 from .shared import documents, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_repeats(spark: SparkSession, directory: str) -> DataFrame:
+    return repeats.find(documents(spark, directory))
+
+
 def op2_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(documents(spark, directory), path, public_tokenizers.PATTERN)
@@ -59,7 +63,7 @@ def op10_source_mix(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_byte_bpe, op3_conv_quality, op4_exact_topk, op5_iblt_fingerprints, op6_weak_supervision_pii, op7_prefix_jaccard, op8_minimax_shards,
+        op1_suffix_repeats, op2_byte_bpe, op3_conv_quality, op4_exact_topk, op5_iblt_fingerprints, op6_weak_supervision_pii, op7_prefix_jaccard, op8_minimax_shards,
         op9_markov_secrets, op10_source_mix,
     )
 }
