@@ -10,9 +10,9 @@ share one, and the first p + g share g + 1. So each set is indexed
   one group. g is fixed per band of set sizes; a set is indexed for its own band and the next, which covers all sets
   of similar size. As g grows with p, a set has a number of pairs in proportion to its prefix.
 
-Frequent tokens are found by counting the hash-ordered prefixes of all documents (tokens met once in a task's share
-are left out of the sum); which tokens count as frequent decides the cost, never the result. Their number is bounded by
-(all prefix tokens) / (least frequency), so they can be broadcast.
+Frequent tokens are found by counting the tokens of all documents, where those met once in a task's share are left out of
+the sum; which tokens count as frequent decides the cost, never the result. Their number is bounded by (all tokens) / (least
+frequency), so they can be broadcast.
 
 Sets with equal content are one entity from the start (named by a 64-bit hash of the set), so copies cost nothing. Sets
 under one key (a bucket) are first compared with its smallest member only; verified links make components. Then all pairs
@@ -40,9 +40,9 @@ from .words import U, chunks, grams, mix, texts_of, word_hashes
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity 0.75
-LEAST_FREQUENCY = 48
-MOST_FREQUENT = 500_000  # bound of the broadcast set of frequent tokens
-FLUSH = 2_000_000
+LEAST_FREQUENCY = 24
+MOST_FREQUENT = 1_000_000  # bound of the broadcast set of frequent tokens
+FLUSH = 6_000_000
 SALTS = 16
 BROADCAST_ROWS = 500_000  # ids of 16 bytes
 
@@ -103,41 +103,50 @@ def pair_keys(frequent: np.ndarray, room: int, n: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, U)
 
 
-def _members_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, key) of documents; rows (token, seen, all) of tokens met more than once."""
-    names = ["doc_id", "n", "key", "sketch", "token", "seen", "total"]
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, key, sketch) of every row."""
+    for batch in batches:
+        sizes, keys, sketches = [], [], []
+        for tokens in shingle_sets(texts_of(batch.column(1))):
+            sizes.append(len(tokens))
+            keys.append(set_key(tokens) if len(tokens) else None)
+            sketches.append(sketch(tokens))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n", "key", "sketch"]
+        )
+
+
+def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, seen): how many sets of this task hold a token, summed up in portions; tokens met once in a portion are left out."""
     pool: list[np.ndarray] = []
     known: set[int] = set()
+    size = 0
 
     def counts() -> pa.RecordBatch:
-        tokens, seen = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.zeros(0, U), np.zeros(0, int))
-        total = int(seen.sum())
-        tokens, seen = np.append(tokens[seen > 1], U(0)), np.append(seen[seen > 1], 0)
-        totals = np.zeros(len(tokens), np.int64)
-        totals[-1] = total
-        none = pa.nulls(len(tokens), pa.int64())
+        tokens, seen = np.unique(np.concatenate(pool), return_counts=True)
         pool.clear()
         known.clear()
-        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(totals)], names)
+        tokens, seen = tokens[seen > 1], seen[seen > 1]
+        return pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(seen.astype(np.int64))], ["token", "seen"])
 
-    size = 0
     for batch in batches:
-        sizes, keys, sketches = [], [], []
         for tokens in shingle_sets(texts_of(batch.column(1))):
-            n = len(tokens)
-            sizes.append(n)
-            keys.append(set_key(tokens) if n else None)
-            sketches.append(sketch(tokens))
-            if n >= NUMERATOR and keys[-1] not in known:
-                known.add(keys[-1])
-                pool.append(tokens[: prefix_length(n)])
-                size += len(pool[-1])
-        none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()), none, none, none], names)
-        if size >= FLUSH:
-            yield counts()
-            size = 0
-    yield counts()
+            if len(tokens) >= NUMERATOR and (key := set_key(tokens)) not in known:
+                known.add(key)
+                pool.append(tokens)
+                size += len(tokens)
+            if size >= FLUSH:
+                yield counts()
+                size = 0
+    if pool:
+        yield counts()
+
+
+def frequent_tokens(known: DataFrame, total: int) -> np.ndarray:
+    """Tokens of at least so many sets that there can be no more than MOST_FREQUENT of them. `total`: tokens of all sets."""
+    least = max(LEAST_FREQUENCY, -(-total // MOST_FREQUENT))
+    often = known.mapInArrow(_shared_counts, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least)
+    return np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).astype(U))
 
 
 def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -324,12 +333,11 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach). One row per row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    counted = settle(rows.mapInArrow(_members_and_counts, "doc_id long, n long, key long, sketch binary, token long, seen long, total long"))
-    members = counted.filter("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "key")
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    often = counted.filter("seen > 0").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= max(LEAST_FREQUENCY, -(-total // MOST_FREQUENT)))
-    frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).astype(U))
+    counted = settle(rows.mapInArrow(_members, "doc_id long, n long, key long, sketch binary"))
+    members = counted.select("doc_id", F.col("n").alias("n_shingles"), "key")
     known = rows.filter("doc_id IS NOT NULL")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = frequent_tokens(known, total)
     found = settle(buckets(signatures(known, frequent)))
     names = counted.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     compared = settle(star_pairs(found))
