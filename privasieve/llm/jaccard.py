@@ -14,8 +14,11 @@ Frequent tokens are found by counting the tokens of all documents, where those m
 the sum; which tokens count as frequent decides the cost, never the result. Their number is bounded by (all tokens) / (least
 frequency), so they can be broadcast.
 
+A set that is indexed under pairs is indexed under all its rare tokens. So sets that only meet under pairs share at most the
+frequent tokens of the one that has fewer (f), and can be similar only if 7 f >= 3 (n + n').
+
 Sets with equal content are one entity from the start (named by a 64-bit hash of the set), so copies cost nothing. Sets
-under one key (a bucket) are first compared with its smallest member only; verified links make components. Then all pairs
+under one key (a bucket) are first compared with the member of fewest rare tokens only; verified links make components. Then all pairs
 of a bucket that lie in different components and are not compared yet are verified too. No link between different
 components is lost, and no pairs are made within a group of near copies. Buckets are read as sorted streams, those of
 pairs are split by salt, and no task holds a bucket in memory. Before texts are read for a comparison, counts of tokens by
@@ -45,6 +48,7 @@ MOST_FREQUENT = 1_000_000  # bound of the broadcast set of frequent tokens
 FLUSH = 6_000_000
 SALTS = 16
 BROADCAST_ROWS = 500_000  # ids of 16 bytes
+BUCKET_NAMES = ["signature", "paired", "key", "n", "rare", "head", "head_n", "head_rare"]
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -150,13 +154,13 @@ def frequent_tokens(known: DataFrame, total: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(signature, paired, key, n) of all sets: each set once in a task."""
+    """(signature, paired, key, n, rare) of all sets: each set once in a task. `rare`: how many of its tokens are rare."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, known = shared.value, set()
         for batch in batches:
-            found, kinds, keys, sizes = [], [], [], []
+            found, kinds, keys, sizes, rares = [], [], [], [], []
             for tokens in shingle_sets(texts_of(batch.column(1))):
                 n = len(tokens)
                 if n < NUMERATOR or (key := set_key(tokens)) in known:
@@ -171,52 +175,53 @@ def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 kinds += [np.zeros(len(singles), bool), np.ones(len(pairs), bool)]
                 keys.append(np.full(len(singles) + len(pairs), key, np.int64))
                 sizes.append(np.full(len(singles) + len(pairs), n, np.int32))
+                rares.append(np.full(len(singles) + len(pairs), n - is_often.sum(), np.int32))
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))],
-                    ["signature", "paired", "key", "n"],
+                    [pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)),
+                     pa.array(np.concatenate(rares))],
+                    ["signature", "paired", "key", "n", "rare"],
                 )
 
-    return rows.mapInArrow(run, "signature long, paired boolean, key long, n int")
+    return rows.mapInArrow(run, "signature long, paired boolean, key long, n int, rare int")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (signature, paired, key, n): those of buckets of two sets or more, or of pairs, with the first set of
+    """Sorted rows (signature, paired, key, n, rare): those of buckets of two sets or more, or of pairs, with the first set of
     the bucket. Runs go on from batch to batch; only the last row and the head of its bucket are held."""
-    held = None  # signature, paired, key, n, head, head's n, given out
+    held = None  # signature, paired, key, n, rare, head, head's n, head's rare, given out
     for batch in batches:
-        signature, paired, key, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        signature, paired, key, n, rare = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(signature):
             continue
         if held is not None:
-            signature, paired, key, n = (np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held[:4], (signature, paired, key, n)))
+            signature, paired, key, n, rare = (np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held[:5], (signature, paired, key, n, rare)))
         fresh = np.append(True, signature[1:] != signature[:-1])
         distinct = fresh | np.append(True, key[1:] != key[:-1])
-        signature, paired, key, n, fresh = (x[distinct] for x in (signature, paired, key, n, fresh))
+        signature, paired, key, n, rare, fresh = (x[distinct] for x in (signature, paired, key, n, rare, fresh))
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-        head, head_n = key[start], n[start]
+        head, head_n, head_rare = key[start], n[start], rare[start]
         if held is not None:
             first = start == 0
-            head[first], head_n[first] = held[4], held[5]
+            head[first], head_n[first], head_rare[first] = held[5:8]
         more = np.append(~fresh[1:], False)
         give = ~fresh | more | paired
         give[-1] = False  # goes out with the next row
         if held is not None:
-            give[0] = give[0] or held[6] and not give[0] and len(give) > 1
-        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (signature, paired, key, n, head, head_n)], ["signature", "paired", "key", "n", "head", "head_n"])
-        again = bool(~fresh[-1]) or (len(key) == 1 and held is not None and held[6]) or bool(paired[-1])
-        held = (signature[-1], paired[-1], key[-1], n[-1], head[-1], head_n[-1], again)
-    if held is not None and held[6]:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x], t) for x, t in zip(held[:6], (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))],
-            ["signature", "paired", "key", "n", "head", "head_n"],
-        )
+            give[0] = give[0] or held[8] and not give[0] and len(give) > 1
+        columns = (signature, paired, key, n, rare, head, head_n, head_rare)
+        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in columns], BUCKET_NAMES)
+        again = bool(~fresh[-1]) or (len(key) == 1 and held is not None and held[8]) or bool(paired[-1])
+        held = (*(x[-1] for x in columns), again)
+    if held is not None and held[8]:
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:8], types)], BUCKET_NAMES)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
     salt = F.when(F.col("paired"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    dealt = signed.repartition(partitions(signed.sparkSession), "signature", salt).sortWithinPartitions("signature", "key")
-    return dealt.mapInArrow(_buckets, "signature long, paired boolean, key long, n int, head long, head_n int")
+    dealt = signed.repartition(partitions(signed.sparkSession), "signature", salt).sortWithinPartitions("signature", "rare", "key")
+    return dealt.mapInArrow(_buckets, "signature long, paired boolean, key long, n int, rare int, head long, head_n int, head_rare int")
 
 
 def close_sizes(a: str, b: str):
@@ -224,24 +229,39 @@ def close_sizes(a: str, b: str):
     return (F.col(a) * DENOMINATOR >= F.col(b) * NUMERATOR) & (F.col(b) * DENOMINATOR >= F.col(a) * NUMERATOR)
 
 
+def close_rares(n: str, rare: str, other_n: str, other_rare: str):
+    """Sets that share no rare token can be similar enough: see the head of this module."""
+    least = F.least(F.col(n) - F.col(rare), F.col(other_n) - F.col(other_rare))
+    return least * (NUMERATOR + DENOMINATOR) >= (F.col(n) + F.col(other_n)) * NUMERATOR
+
+
 def star_pairs(found: DataFrame) -> DataFrame:
-    """Each set with the head of its bucket, and the heads of a split bucket with its smallest head: distinct (a, b)."""
-    heads = found.filter("paired AND key = head").select("signature", "key", "n")
-    least = heads.groupBy("signature").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("count")).filter("count > 1")
-    between = heads.join(least, "signature").select("key", "n", F.col("least.key").alias("head"), F.col("least.n").alias("head_n"))
-    pairs = found.select("key", "n", "head", "head_n").unionByName(between).filter((F.col("key") != F.col("head")) & close_sizes("n", "head_n"))
+    """Each set with the head of its bucket, and the heads of a split bucket with its least head: distinct (a, b)."""
+    heads = found.filter("paired AND key = head").select("signature", "paired", "key", "n", "rare")
+    least = heads.groupBy("signature").agg(F.min(F.struct("rare", "key", "n")).alias("least"), F.count("*").alias("count")).filter("count > 1")
+    between = heads.join(least, "signature").select(
+        "paired", "key", "n", "rare", F.col("least.key").alias("head"), F.col("least.n").alias("head_n"), F.col("least.rare").alias("head_rare")
+    )
+    pairs = found.select(between.columns).unionByName(between).filter((F.col("key") != F.col("head")) & close_sizes("n", "head_n"))
+    pairs = pairs.filter(~F.col("paired") | close_rares("n", "rare", "head_n", "head_rare"))
     return pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
 
 
 def crossing_pairs(found: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components and were not compared: distinct (a, b)."""
-    rows = found.select("signature", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    """Pairs of a bucket that lie in different components and were not compared: distinct (a, b). Sets that are too far
+    from the smallest of a bucket of pairs to be similar to any leave it first."""
+    smallest = found.filter("paired").groupBy("signature").agg(F.min("n").alias("least_n"))
+    room = (F.col("n") - F.col("rare")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("least_n")) * NUMERATOR
+    near = found.join(smallest, "signature", "left").filter(~F.col("paired") | room)
+    rows = near.select("signature", "paired", "key", "n", "rare").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = rows.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("signature")
     rows = settle(rows.join(mixed, "signature"))
-    left = rows.select("signature", F.col("key").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-    right = rows.select("signature", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
-    pairs = left.join(right, "signature").filter((F.col("x_label") < F.col("y_label")) & close_sizes("x_n", "y_n"))
-    distinct = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left, right = (
+        rows.select("signature", *paired, *(F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "rare", "label"))) for side, paired in (("x", ["paired"]), ("y", []))
+    )
+    possible_rares = ~F.col("paired") | close_rares("x_n", "x_rare", "y_n", "y_rare")
+    pairs = left.join(right, "signature").filter((F.col("x_label") < F.col("y_label")) & close_sizes("x_n", "y_n") & possible_rares)
+    distinct = pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
     return distinct.join(compared, ["a", "b"], "left_anti")
 
 
