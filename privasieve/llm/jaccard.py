@@ -18,7 +18,8 @@ A set that is indexed under pairs is indexed under all its rare tokens. So sets
 frequent tokens of the one that has fewer (f), and can be similar only if 7 f >= 3 (n + n').
 
 Sets with equal content are one entity from the start (named by a 64-bit hash of the set), so copies cost nothing. Sets
-under one key (a bucket) are first compared with the member of fewest rare tokens only; verified links make components. Then all pairs
+under one key (a bucket) are tied to its head, the member of fewest rare tokens. Each set is compared with the head it shares
+most buckets with; verified links make components. Then the other heads in different components are compared, then all pairs
 of a bucket that lie in different components and are not compared yet are verified too. No link between different
 components is lost, and no pairs are made within a group of near copies. Buckets are read as sorted streams, those of
 pairs are split by salt, and no task holds a bucket in memory. Before texts are read for a comparison, counts of tokens by
@@ -236,7 +237,7 @@ def close_rares(n: str, rare: str, other_n: str, other_rare: str):
 
 
 def star_pairs(found: DataFrame) -> DataFrame:
-    """Each set with the head of its bucket, and the heads of a split bucket with its least head: distinct (a, b)."""
+    """Each set with the head of its bucket, and the heads of a split bucket with its least head: (key, head, buckets)."""
     heads = found.filter("paired AND key = head").select("signature", "paired", "key", "n", "rare")
     least = heads.groupBy("signature").agg(F.min(F.struct("rare", "key", "n")).alias("least"), F.count("*").alias("count")).filter("count > 1")
     between = heads.join(least, "signature").select(
@@ -244,9 +245,26 @@ def star_pairs(found: DataFrame) -> DataFrame:
     )
     pairs = found.select(between.columns).unionByName(between).filter((F.col("key") != F.col("head")) & close_sizes("n", "head_n"))
     pairs = pairs.filter(~F.col("paired") | close_rares("n", "rare", "head_n", "head_rare"))
+    return pairs.groupBy("key", "head").agg(F.count("*").alias("buckets"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b) with a < b of pairs (key, head)."""
     return pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
 
 
+def nearest_heads(stars: DataFrame) -> DataFrame:
+    """Each set with the head it shares most buckets with: distinct (a, b)."""
+    return ordered(stars.groupBy("key").agg(F.max(F.struct("buckets", "head")).alias("best")).select("key", "best.head"))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    left, right = (labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_label")) for c in ("a", "b"))
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    return both.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def crossing_pairs(found: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
     """Pairs of a bucket that lie in different components and were not compared: distinct (a, b). Sets that are too far
     from the smallest of a bucket of pairs to be similar to any leave it first."""
@@ -360,9 +378,12 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     frequent = frequent_tokens(known, total)
     found = settle(buckets(signatures(known, frequent)))
     names = counted.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    compared = settle(star_pairs(found))
+    stars = settle(star_pairs(found))
+    compared = settle(nearest_heads(stars))
     links = verified(compared, names, known)
-    crossing = crossing_pairs(found, settle(components(links)), compared)
+    others = settle(apart(ordered(stars), settle(components(links))).join(compared, ["a", "b"], "left_anti"))
+    links = links.unionByName(verified(others, names, known))
+    crossing = crossing_pairs(found, settle(components(links)), compared.unionByName(others))
     labels = settle(components(links.unionByName(verified(crossing, names, known))))
     tied = names.join(labels, "key").select("key", "label", "doc_id")
     least = tied.groupBy("label").agg(F.min("doc_id").alias("component_id"))
