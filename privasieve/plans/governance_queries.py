@@ -342,12 +342,11 @@ _COUNT_SQL = (
     f", greatest(0, (SELECT count(*) FROM ({WORK_IN}) w WHERE risk_level = 'high') - (SELECT count(*) FROM rv WHERE decision <> 'reassign_owner')) AS open_review_backlog"
 )
 _COUNT_COLUMNS = "decisions bigint, " + ", ".join(f"{d} bigint" for d in review.DECISION_STATUS) + ", open_review_backlog bigint"
-_RV = f"rv AS (SELECT * FROM ({REVIEWS_IN}) r WHERE decided_at < TIMESTAMP '1995-06-01')"
+_RV = f"rv AS (SELECT * FROM ({REVIEWS_IN}) r)"
 
 
 def _counters(spark, directory):
-    done = _reviews(spark, directory).filter("decided_at < timestamp '1995-06-01'")
-    return review.outcome_counters(done, _work(spark, directory).filter("risk_level = 'high'"), reassign_closes=False)
+    return review.outcome_counters(_reviews(spark, directory), _work(spark, directory).filter("risk_level = 'high'"), reassign_closes=False)
 
 
 @query("rev_outcome_counters", _COUNT_COLUMNS, _COUNT_SQL, _RV)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
 from ..operators import extract, inventory, summaries
@@ -125,7 +126,7 @@ def reference_policy(spark, directory):
 @query("snk_result_tables", "finding_id varchar, source_id varchar, risk_level varchar",
        "SELECT finding_id, source_id, risk_level FROM fnd WHERE source_id NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 0)", FINDINGS)
 def result_tables(spark, directory):
-    path = f"{file_source.shared_folder(spark)}/findings-{spark.sparkContext.applicationId}"
+    path = f"{file_source.shared_folder(spark)}/findings-{uuid.uuid4().hex}"
     rows = _findings(spark, directory).select("finding_id", "source_id", F.lit(SCAN).alias("scan_id"), "risk_level", "file_key")
     file_source.write_results(rows, path)
     deleted = table(spark, directory, "nation").filter("n_regionkey = 0").select(F.col("n_name").alias("source_id"))

@@ -34,9 +34,14 @@ def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it; a local one only where none is named."""
+    """The folder all executors see, as the cluster names it; a local session without one gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="privasieve-")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="privasieve-")
 
 
 def write_results(frame: DataFrame, path: str) -> None:
