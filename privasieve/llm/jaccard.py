@@ -14,8 +14,10 @@ Frequent tokens are found by counting the tokens of all documents, where those m
 the sum; which tokens count as frequent decides the cost, never the result. Their number is bounded by (all tokens) / (least
 frequency), so they can be broadcast.
 
-A set that is indexed under pairs is indexed under all its rare tokens. So sets that only meet under pairs share at most the
-frequent tokens of the one that has fewer (f), and can be similar only if 7 f >= 3 (n + n').
+Where two sets meet first, each has passed some tokens that the other lacks. Under a rare token these are all tokens before
+it (`passed`: its place in the order); under pairs they are all rare tokens, as a set that is indexed under pairs is indexed
+under all its rare tokens. So they share at most the fewer of their other tokens (r = n - passed), and a bucket can be
+where similar sets meet first only if 7 r >= 3 (n + n'). Of the buckets with the same sets the one of the first token is kept.
 
 Sets with equal content are one entity from the start (named by a 64-bit hash of the set), so copies cost nothing. Sets
 under one key (a bucket) are tied to its head, the member of fewest rare tokens. Each set is compared with the head it shares
@@ -36,7 +38,7 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, settle, ship
@@ -48,8 +50,9 @@ LEAST_FREQUENCY = 24
 MOST_FREQUENT = 1_000_000  # bound of the broadcast set of frequent tokens
 FLUSH = 6_000_000
 SALTS = 16
+LOOK_BACK = 8  # buckets of a set in which a pair is looked for before it is made once more
 BROADCAST_ROWS = 500_000  # ids of 16 bytes
-BUCKET_NAMES = ["signature", "paired", "key", "n", "rare", "head", "head_n", "head_rare"]
+BUCKET_NAMES = ["signature", "paired", "key", "n", "rare", "passed", "head", "head_n", "head_passed"]
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -155,13 +158,14 @@ def frequent_tokens(known: DataFrame, total: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(signature, paired, key, n, rare) of all sets: each set once in a task. `rare`: how many of its tokens are rare."""
+    """(signature, paired, key, n, rare, passed) of all sets: each set once in a task. `rare`: how many of its tokens are rare;
+    `passed`: how many tokens a set that is first met here does not share."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, known = shared.value, set()
         for batch in batches:
-            found, kinds, keys, sizes, rares = [], [], [], [], []
+            found, kinds, keys, sizes, rares, passed = [], [], [], [], [], []
             for tokens in shingle_sets(texts_of(batch.column(1))):
                 n = len(tokens)
                 if n < NUMERATOR or (key := set_key(tokens)) in known:
@@ -177,52 +181,64 @@ def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 keys.append(np.full(len(singles) + len(pairs), key, np.int64))
                 sizes.append(np.full(len(singles) + len(pairs), n, np.int32))
                 rares.append(np.full(len(singles) + len(pairs), n - is_often.sum(), np.int32))
+                passed += [np.arange(len(singles), dtype=np.int32), np.full(len(pairs), n - is_often.sum(), np.int32)]
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)),
-                     pa.array(np.concatenate(rares))],
-                    ["signature", "paired", "key", "n", "rare"],
+                     pa.array(np.concatenate(rares)), pa.array(np.concatenate(passed))],
+                    BUCKET_NAMES[:6],
                 )
 
-    return rows.mapInArrow(run, "signature long, paired boolean, key long, n int, rare int")
+    return rows.mapInArrow(run, "signature long, paired boolean, key long, n int, rare int, passed int")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (signature, paired, key, n, rare): those of buckets of two sets or more, or of pairs, with the first set of
-    the bucket. Runs go on from batch to batch; only the last row and the head of its bucket are held."""
-    held = None  # signature, paired, key, n, rare, head, head's n, head's rare, given out
+    """Sorted rows (signature, paired, key, n, rare, passed): those of buckets of two sets or more, or of pairs, with the first
+    set of the bucket. Runs go on from batch to batch; only the last row and the head of its bucket are held."""
+    held = None  # signature, paired, key, n, rare, passed, head, head's n, head's passed, given out
     for batch in batches:
-        signature, paired, key, n, rare = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if not len(signature):
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
             continue
         if held is not None:
-            signature, paired, key, n, rare = (np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held[:5], (signature, paired, key, n, rare)))
+            columns = [np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held[:6], columns)]
+        signature, key = columns[0], columns[2]
         fresh = np.append(True, signature[1:] != signature[:-1])
         distinct = fresh | np.append(True, key[1:] != key[:-1])
-        signature, paired, key, n, rare, fresh = (x[distinct] for x in (signature, paired, key, n, rare, fresh))
+        signature, paired, key, n, rare, passed, fresh = (x[distinct] for x in (*columns, fresh))
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-        head, head_n, head_rare = key[start], n[start], rare[start]
+        head, head_n, head_passed = key[start], n[start], passed[start]
         if held is not None:
             first = start == 0
-            head[first], head_n[first], head_rare[first] = held[5:8]
+            head[first], head_n[first], head_passed[first] = held[6:9]
         more = np.append(~fresh[1:], False)
         give = ~fresh | more | paired
         give[-1] = False  # goes out with the next row
         if held is not None:
-            give[0] = give[0] or held[8] and not give[0] and len(give) > 1
-        columns = (signature, paired, key, n, rare, head, head_n, head_rare)
+            give[0] = give[0] or held[9] and not give[0] and len(give) > 1
+        columns = (signature, paired, key, n, rare, passed, head, head_n, head_passed)
         yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in columns], BUCKET_NAMES)
-        again = bool(~fresh[-1]) or (len(key) == 1 and held is not None and held[8]) or bool(paired[-1])
+        again = bool(~fresh[-1]) or (len(key) == 1 and held is not None and held[9]) or bool(paired[-1])
         held = (*(x[-1] for x in columns), again)
-    if held is not None and held[8]:
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:8], types)], BUCKET_NAMES)
+    if held is not None and held[9]:
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:9], types)], BUCKET_NAMES)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
     salt = F.when(F.col("paired"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     dealt = signed.repartition(partitions(signed.sparkSession), "signature", salt).sortWithinPartitions("signature", "rare", "key")
-    return dealt.mapInArrow(_buckets, "signature long, paired boolean, key long, n int, rare int, head long, head_n int, head_rare int")
+    return dealt.mapInArrow(
+        _buckets, "signature long, paired boolean, key long, n int, rare int, passed int, head long, head_n int, head_passed int"
+    )
+
+
+def unlike_buckets(found: DataFrame) -> DataFrame:
+    """Of the buckets that hold the same sets, the one of the first token (tokens are ordered as unsigned numbers); none of one set."""
+    held = [F.count("*").alias("sets"), *(F.bit_xor(F.xxhash64(F.lit(seed), "key")).alias(f"digest_{seed}") for seed in (1, 2))]
+    contents = found.groupBy("signature", "paired").agg(*held).filter("sets > 1")
+    first = F.min(F.struct(F.col("signature") < 0, "signature"))["signature"].alias("signature")
+    return found.join(contents.groupBy("paired", "sets", "digest_1", "digest_2").agg(first).select("signature", "paired"), ["signature", "paired"], "left_semi")
 
 
 def close_sizes(a: str, b: str):
@@ -230,22 +246,21 @@ def close_sizes(a: str, b: str):
     return (F.col(a) * DENOMINATOR >= F.col(b) * NUMERATOR) & (F.col(b) * DENOMINATOR >= F.col(a) * NUMERATOR)
 
 
-def close_rares(n: str, rare: str, other_n: str, other_rare: str):
-    """Sets that share no rare token can be similar enough: see the head of this module."""
-    least = F.least(F.col(n) - F.col(rare), F.col(other_n) - F.col(other_rare))
+def close_rest(n: str, passed: str, other_n: str, other_passed: str):
+    """Sets that meet here first can be similar enough: see the head of this module."""
+    least = F.least(F.col(n) - F.col(passed), F.col(other_n) - F.col(other_passed))
     return least * (NUMERATOR + DENOMINATOR) >= (F.col(n) + F.col(other_n)) * NUMERATOR
 
 
 def star_pairs(found: DataFrame) -> DataFrame:
     """Each set with the head of its bucket, and the heads of a split bucket with its least head: (key, head, buckets)."""
-    heads = found.filter("paired AND key = head").select("signature", "paired", "key", "n", "rare")
-    least = heads.groupBy("signature").agg(F.min(F.struct("rare", "key", "n")).alias("least"), F.count("*").alias("count")).filter("count > 1")
+    heads = found.filter("paired AND key = head").select("signature", "key", "n", "rare", "passed")
+    least = heads.groupBy("signature").agg(F.min(F.struct("rare", "key", "n", "passed")).alias("least"), F.count("*").alias("count")).filter("count > 1")
     between = heads.join(least, "signature").select(
-        "paired", "key", "n", "rare", F.col("least.key").alias("head"), F.col("least.n").alias("head_n"), F.col("least.rare").alias("head_rare")
+        "key", "n", "passed", F.col("least.key").alias("head"), F.col("least.n").alias("head_n"), F.col("least.passed").alias("head_passed")
     )
     pairs = found.select(between.columns).unionByName(between).filter((F.col("key") != F.col("head")) & close_sizes("n", "head_n"))
-    pairs = pairs.filter(~F.col("paired") | close_rares("n", "rare", "head_n", "head_rare"))
-    return pairs.groupBy("key", "head").agg(F.count("*").alias("buckets"))
+    return pairs.filter(close_rest("n", "passed", "head_n", "head_passed")).groupBy("key", "head").agg(F.count("*").alias("buckets"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -267,18 +282,20 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def crossing_pairs(found: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
     """Pairs of a bucket that lie in different components and were not compared: distinct (a, b). Sets that are too far
-    from the smallest of a bucket of pairs to be similar to any leave it first."""
-    smallest = found.filter("paired").groupBy("signature").agg(F.min("n").alias("least_n"))
-    room = (F.col("n") - F.col("rare")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("least_n")) * NUMERATOR
-    near = found.join(smallest, "signature", "left").filter(~F.col("paired") | room)
-    rows = near.select("signature", "paired", "key", "n", "rare").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = rows.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("signature")
-    rows = settle(rows.join(mixed, "signature"))
-    left, right = (
-        rows.select("signature", *paired, *(F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "rare", "label"))) for side, paired in (("x", ["paired"]), ("y", []))
-    )
-    possible_rares = ~F.col("paired") | close_rares("x_n", "x_rare", "y_n", "y_rare")
-    pairs = left.join(right, "signature").filter((F.col("x_label") < F.col("y_label")) & close_sizes("x_n", "y_n") & possible_rares)
+    from the smallest of a bucket to be similar to any leave it first. A pair that shares one of the last few buckets before
+    this one, in the order that all sets have, is made there and not again here."""
+    smallest = found.groupBy("signature", "paired").agg(F.min("n").alias("least_n"))
+    rest = (F.col("n") - F.col("passed")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("least_n")) * NUMERATOR
+    near = found.join(smallest, ["signature", "paired"]).filter(rest)
+    rows = near.select("signature", "paired", "key", "n", "passed").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    last = Window.partitionBy("key", "paired").orderBy(F.col("signature") < 0, "signature").rowsBetween(-LOOK_BACK, -1)
+    rows = rows.withColumn("before", F.collect_list("signature").over(last))
+    mixed = rows.groupBy("signature", "paired").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rows = settle(rows.join(mixed.select("signature", "paired"), ["signature", "paired"], "left_semi"))
+    left, right = (rows.select("signature", "paired", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "passed", "label", "before"))) for side in "xy")
+    possible_rest = close_rest("x_n", "x_passed", "y_n", "y_passed")
+    first = ~F.arrays_overlap("x_before", "y_before")
+    pairs = left.join(right, ["signature", "paired"]).filter((F.col("x_label") < F.col("y_label")) & close_sizes("x_n", "y_n") & possible_rest & first)
     distinct = pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
     return distinct.join(compared, ["a", "b"], "left_anti")
 
@@ -376,7 +393,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     known = rows.filter("doc_id IS NOT NULL")
     total = counted.agg(F.sum("n")).first()[0] or 0
     frequent = frequent_tokens(known, total)
-    found = settle(buckets(signatures(known, frequent)))
+    found = settle(unlike_buckets(settle(buckets(signatures(known, frequent)))))
     names = counted.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     stars = settle(star_pairs(found))
     compared = settle(nearest_heads(stars))
