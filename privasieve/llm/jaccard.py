@@ -51,6 +51,8 @@ MOST_FREQUENT = 1_000_000  # bound of the broadcast set of frequent tokens
 FLUSH = 6_000_000
 SALTS = 16
 LOOK_BACK = 8  # buckets of a set in which a pair is looked for before it is made once more
+EDGES_OF_PARTITION = 50_000
+FIRST_ROUNDS = 2  # of components that only save comparisons
 BROADCAST_ROWS = 500_000  # ids of 16 bytes
 BUCKET_NAMES = ["signature", "paired", "key", "n", "rare", "passed", "head", "head_n", "head_passed"]
 
@@ -311,6 +313,12 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
 
+def chosen(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The names of the sets in the pairs. A list of keys of known, small size saves sending all sketches."""
+    keys = settle(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    return settle(names.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key"))
+
+
 def possible(pairs: DataFrame, names: DataFrame) -> DataFrame:
     both = pairs.join(names.select(F.col("key").alias("a"), F.col("sketch").alias("left")), "a").join(
         names.select(F.col("key").alias("b"), F.col("sketch").alias("right")), "b"
@@ -346,6 +354,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
     """The similar ones of the pairs (a, b). Texts are read again for the sets that are still possible."""
+    pairs = settle(pairs)
+    names = chosen(names, pairs)
     near = settle(possible(pairs, names))
     keys = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     wanted = settle(keys.join(names.select("key", "doc_id"), "key"))
@@ -357,31 +367,37 @@ def verified(pairs: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
     return settle(both.select("a", "b", "a_text", "b_text").mapInArrow(_alike, "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(key, label) of all nodes of edges (a, b): label is the smallest node of the component.
 
     Rounds of large and small stars: each node ties its larger neighbours, then its smaller ones, to the smallest it
-    knows. Only minima are aggregated, so a node may have any number of neighbours.
+    knows. Only minima are aggregated, so a node may have any number of neighbours. Few edges are held in few partitions.
+    After `most_rounds` rounds the label is the smallest node known by then, and nodes of a component may differ in it.
     """
 
     def state(rows: DataFrame):
         return rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = state(edges)
-    while True:
+    before, rounds = state(edges), 0
+    while most_rounds is None or rounds < most_rounds:
+        rounds += 1
+        parts = min(partitions(edges.sparkSession), before[0] // EDGES_OF_PARTITION + 1)
+        edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = settle(large)
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = settle(large.coalesce(parts).distinct().coalesce(parts))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = settle(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        edges = settle(small.unionByName(low.select("a", F.col("low").alias("b"))).coalesce(parts).distinct().coalesce(parts))
         now = state(edges)
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
+    label = F.min("b").alias("label")
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), "b"))
+    return ends.groupBy(F.col("a").alias("key")).agg(label)
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -394,14 +410,17 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     total = counted.agg(F.sum("n")).first()[0] or 0
     frequent = frequent_tokens(known, total)
     found = settle(unlike_buckets(settle(buckets(signatures(known, frequent)))))
-    names = counted.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    names = settle(
+        counted.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    )
     stars = settle(star_pairs(found))
     compared = settle(nearest_heads(stars))
     links = verified(compared, names, known)
-    others = settle(apart(ordered(stars), settle(components(links))).join(compared, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(others, names, known))
-    crossing = crossing_pairs(found, settle(components(links)), compared.unionByName(others))
-    labels = settle(components(links.unionByName(verified(crossing, names, known))))
+    others = settle(apart(ordered(stars), settle(components(links, FIRST_ROUNDS))).join(compared, ["a", "b"], "left_anti"))
+    tied = settle(components(links.unionByName(verified(others, names, known))))
+    crossing = crossing_pairs(found, tied, compared.unionByName(others))
+    stars = tied.select(F.col("key").alias("a"), F.col("label").alias("b"))
+    labels = settle(components(stars.unionByName(verified(crossing, names, known))))
     tied = names.join(labels, "key").select("key", "label", "doc_id")
     least = tied.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_key = names.join(tied.select("key", "label").join(least, "label").select("key", "component_id"), "key", "left").select(
