@@ -315,7 +315,8 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chosen(names: DataFrame, pairs: DataFrame) -> DataFrame:
     """The names of the sets in the pairs. A list of keys of known, small size saves sending all sketches."""
-    keys = settle(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    left, right = (pairs.select(F.col(c).alias("key")).distinct() for c in "ab")
+    keys = settle(left.unionByName(right).distinct())
     return settle(names.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key"))
 
 
