@@ -112,10 +112,18 @@ def _rows(text: Column, delimiter: str) -> Column:
     return F.transform(whole, cells)
 
 
+def _holding(delimiter: str):
+    return lambda line: line.contains(delimiter)
+
+
 def sniff_delimiter(text: Column) -> Column:
-    """The delimiter that occurs most in the first non-empty line; commas win a tie."""
+    """Of the delimiters in the first non-empty line the one that most lines have; then the one it has most of; then commas."""
     first = F.regexp_extract(text, r"(?m)^(.*\S.*)$", 1)
-    counts = [F.struct(F.length(F.regexp_replace(first, f"[^{d}]", "")).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]
+    counts = []
+    for i, d in enumerate(DELIMITERS):
+        n = F.length(F.regexp_replace(first, f"[^{d}]", ""))
+        having = F.size(F.filter(F.split(text, "\n", -1), _holding(d)))
+        counts.append(F.struct(F.when(n > 0, having).otherwise(0).alias("having"), n.alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")))
     return F.greatest(*counts)["d"]
 
 
@@ -162,8 +170,9 @@ def delimited(text: Column, tabs: bool = False) -> Column:
 # --- JSON --------------------------------------------------------------------------------------
 
 
-def json_scalars(text: Column, depth: int = JSON_DEPTH) -> Column:
-    """Scalars of a JSON value in document order as `key: value`; null for malformed JSON.
+def json_scalars(text: Column, depth: int = JSON_DEPTH, records: bool = False) -> Column:
+    """Scalars of a JSON value in document order as `key: value`; null for malformed JSON. With `records` every line that
+    is not empty is a value of its own, and one malformed line makes the file malformed.
 
     One pass per level: objects and arrays are opened where they stand. Objects are read as maps,
     which keep the order of their keys.
@@ -180,7 +189,10 @@ def json_scalars(text: Column, depth: int = JSON_DEPTH) -> Column:
 
         return F.filter(F.flatten(F.transform(nodes, open_one)), lambda n: n["value"].isNotNull())
 
-    nodes = F.array(_node(F.lit(""), F.lit(None).cast("string"), F.trim(text)))
+    none = F.lit(None).cast("string")
+    values = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda v: v != "") if records else F.array(F.trim(text))
+    place = (lambda i: F.concat(F.lit("/record["), (i + 1).cast("string"), F.lit("]"))) if records else (lambda i: F.lit(""))
+    nodes = F.transform(values, lambda v, i: _node(place(i), none, v))
     for _ in range(depth):
         nodes = spread(nodes)
     scalars = F.filter(nodes, lambda n: strip(n["value"]) != "")
@@ -191,7 +203,7 @@ def json_scalars(text: Column, depth: int = JSON_DEPTH) -> Column:
             F.concat(F.lit("JSON field "), F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(n["path"], F.lit(r"field\[(\d+)\]"), F.lit(1)), "."), F.lit("")), F.lit("value"))),
         ),
     )
-    return F.when(F.try_parse_json(text).isNotNull(), fragments)
+    return F.when(F.forall(values, lambda v: F.try_parse_json(v).isNotNull()), fragments)
 
 
 def _node(path: Column, label: Column, value: Column) -> Column:
@@ -259,15 +271,36 @@ def html_texts(text: Column) -> Column:
     )
 
 
-_XML_TOKEN = r"(?s)<!--.*?-->|<[!?][^>]*>|</[^>]+>|<[^>]+>[^<]*"
+_XML_TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')++>"""
+_XML_PART = rf"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>\[]*(?:\[.*?\]\s*)?>|{_XML_TAG}|[^<]++|<"""
+_XML_TOKEN = rf"{_XML_TAG}[^<]*+"
+_XML_HEAD = rf"\A({_XML_TAG})"
+
+
+def xml_elements(text: Column) -> Column:
+    """Tags and texts alone: comments, instructions and declarations go, CDATA becomes text."""
+
+    def kept(part: Column) -> Column:
+        data = F.substring(part, F.lit(10), F.length(part) - 12)
+        escaped = F.replace(F.replace(data, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        return F.when(part.startswith("<![CDATA["), escaped).when(part.rlike(r"\A<[!?]"), "").otherwise(part)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_XML_PART), F.lit(0)), kept), "")
+
+
+def well_formed(text: Column) -> Column:
+    """Whether a text is one XML element with all tags closed in order, as Spark's own parser sees it."""
+    parsed = F.from_xml(F.trim(text), "broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    return F.coalesce(text.rlike(r"\A\s*<"), F.lit(False)) & parsed.isNotNull() & parsed["broken"].isNull()
 
 
 def xml_scalars(text: Column) -> Column:
-    """Attributes and element texts as `name: value` with the element's ordinal path.
+    """Attributes and element texts as `name: value` with the element's ordinal path; null for malformed XML. Namespace
+    declarations are no attributes.
 
     A fold over the tags keeps the path of open elements, so any nesting is walked in one pass.
     """
-    tokens = F.filter(F.regexp_extract_all(searchable(text), F.lit(_XML_TOKEN), F.lit(0)), lambda t: ~t.rlike(r"\A<[!?]"))
+    tokens = F.regexp_extract_all(xml_elements(searchable(text)), F.lit(_XML_TOKEN), F.lit(0))
     zero = F.struct(
         F.array().cast("array<int>").alias("path"), F.array(F.lit(0)).alias("children"),
         empty("struct<text:string,value_at:int,path:string,label:string>").alias("out"),
@@ -283,12 +316,15 @@ def xml_scalars(text: Column) -> Column:
             F.slice(acc["children"], F.lit(1), F.greatest(F.size(acc["children"]) - 1, F.lit(1))).alias("children"),
             acc["out"].alias("out"),
         )
-        head = F.regexp_extract(token, r"(?s)\A<([^>]*)>", 1)
+        tag = F.regexp_extract(token, _XML_HEAD, 1)
+        head = F.substring(tag, F.lit(2), F.length(tag) - 2)
         single = head.endswith("/")
         name = local(F.regexp_extract(head, r"\A([^\s/]+)", 1))
-        value = collapse(decode_entities(F.regexp_extract(token, r"(?s)\A<[^>]*>(.*)\z", 1)))
-        names = F.regexp_extract_all(head, F.lit(r"""\s([^\s=]+)\s*=\s*(?:"[^"]*"|'[^']*')"""), F.lit(1))
-        quoted = F.regexp_extract_all(head, F.lit(r"""\s[^\s=]+\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+        value = collapse(decode_entities(F.substring(token, F.length(tag) + 1, F.length(token))))
+        pairs = F.regexp_extract_all(head, F.lit(r"""\s[^\s=]+\s*=\s*(?:"[^"]*"|'[^']*')"""), F.lit(0))
+        pairs = F.filter(pairs, lambda x: ~x.rlike(r"\A\s+xmlns(?:\s*=|:)"))
+        names = F.transform(pairs, lambda x: F.regexp_extract(x, r"\A\s([^\s=]+)", 1))
+        quoted = F.transform(pairs, lambda x: F.regexp_extract(x, r"(?s)\A[^=]*=\s*(.*)\z", 1))
 
         def opened(me: Column) -> Column:
             path = F.concat(acc["path"], F.array(me))
@@ -316,7 +352,7 @@ def xml_scalars(text: Column) -> Column:
 
         return F.when(token.startswith("</"), closed).otherwise(let(F.element_at(acc["children"], -1) + 1, opened))
 
-    return F.aggregate(tokens, zero, step, lambda acc: acc["out"])
+    return F.when(well_formed(text), F.aggregate(tokens, zero, step, lambda acc: acc["out"]))
 
 
 # --- Markdown and transcripts ------------------------------------------------------------------

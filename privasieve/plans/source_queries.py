@@ -219,7 +219,7 @@ def json_flatten(spark, directory):
 
 _XML = "concat('<?xml version=\"1.0\"?><doc xmlns:p=\"x\" id=\"', k, '\"><!-- no --><p:name first=\"A &amp; B\">', c_name, '</p:name><empty/><list><item> one  two </item><item>', c_mktsegment, '</item></list></doc>')"
 _XML_EXPECTED = _expected({0: [
-    ("'p'", "'x'", "'/element[1]/attribute[1]'", "'XML element 1 attribute 1'"), ("'id'", "concat(k, '')", "'/element[1]/attribute[2]'", "'XML element 1 attribute 2'"),
+    ("'id'", "concat(k, '')", "'/element[1]/attribute[1]'", "'XML element 1 attribute 1'"),
     ("'first'", "'A & B'", "'/element[1]/element[1]/attribute[1]'", "'XML element 1.1 attribute 1'"), ("'name'", "c_name", "'/element[1]/element[1]'", "'XML element 1.1'"),
     ("'item'", "'one two'", "'/element[1]/element[3]/element[1]'", "'XML element 1.3.1'"), ("'item'", "c_mktsegment", "'/element[1]/element[3]/element[2]'", "'XML element 1.3.2'")]}, 1)
 

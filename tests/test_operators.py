@@ -93,6 +93,28 @@ def test_json_order_and_errors(spark):
     assert one(spark, extract.json_scalars(F.col("text")), "{broken") is None
 
 
+def test_json_records(spark):
+    got = one(spark, extract.json_scalars(F.col("text"), records=True), '{"a": 1}\n\n{"a": [2, 3]}\n')
+    assert [(f.path, f.text) for f in got] == [("/record[1]/field[1]", "a: 1"), ("/record[2]/field[1]/item[1]", "a: 2"), ("/record[2]/field[1]/item[2]", "a: 3")]
+    assert one(spark, extract.json_scalars(F.col("text"), records=True), '{"a": 1}\n{') is None
+
+
+def test_delimiter_of_most_lines(spark):
+    got = [f.text for f in one(spark, extract.delimited(F.col("text")), "Name, first;Mail\nA;b@x.org")]
+    assert got == ["Name, first: A", "Mail: b@x.org"]
+
+
+def test_xml_parts(spark):
+    def texts(xml):
+        found = one(spark, extract.xml_scalars(F.col("text")), xml)
+        return found and [f.text for f in found]
+
+    assert texts("<d><a><!--c-->mail@x.org</a><b><![CDATA[SSN 123-45-6789 <&amp;>]]></b></d>") == ["a: mail@x.org", "b: SSN 123-45-6789 <&amp;>"]
+    assert texts('<?xml version="1.0"?><d xmlns="u" xmlns:p="x" p:id="7" a="x>y">v</d>') == ["id: 7", "a: x>y", "d: v"]
+    for broken in ("<d><a>x</d>", "<d>x", "plain", ""):
+        assert texts(broken) is None, broken
+
+
 def test_html_entities_and_scripts(spark):
     text = "<p>A &amp; B &#233; &#x1F642;<!-- x --></p><script>if (a<b) t('</p>&amp;')</script>"
     assert [f.text for f in one(spark, extract.html_texts(F.col("text")), text)] == ["A & B é 🙂", "if (a<b) t('</p>&amp;')"]
