@@ -5,8 +5,8 @@ sections of cells; a digest is put into one cell of each: the cell counts it and
 running exclusive ors. Two sketches of equal size are subtracted cell by cell, which leaves the digests of only one
 side; cells with a single digest are peeled until nothing is left. What was peeled are the digests that differ, and
 from their number follows the likeness of the two texts, the Jaccard similarity of their paragraph sets. Where peeling
-stops early, it is tried again on sketches of as many groups of cells as the sets need, then twice as many and so on,
-each time with other hashes.
+stops early, the sets are cut into as many groups as they need, each with a sketch of its own. A group that does not peel
+is tried again with other hashes, and after the last attempt its two sets of digests are compared as they are.
 
 A fingerprint is a sketch of `CELLS` cells, as text. Equal texts have equal fingerprints. Paragraphs that a document
 repeats count once. Null texts count as empty; two empty sets have likeness 1.
@@ -25,7 +25,7 @@ WIDTH = 12  # cells of a section
 CELLS = SECTIONS * WIDTH
 ROUNDS = 24
 RETRIES = 4
-GROUP = 14  # expected digests in a group of a retry
+GROUP = 14  # expected digests in a group
 FOUND = "array<struct<n:int,digest:bigint>>"
 
 
@@ -95,25 +95,43 @@ def peel(difference: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step, end)
 
 
-def retried(left: Column, right: Column, attempt: Column) -> Column:
-    """The same on a sketch with as many groups of CELLS cells as the sets need; each digest belongs to one group."""
-    groups = (F.floor((F.size(left) + F.size(right)) / GROUP) + 1).cast("int") * attempt
+def grouped(left: Column, right: Column) -> Column:
+    """Both sets cut into groups by digest, as many as the sets need: an array of array<struct<place,side,digest>> with
+    side 1 for the left set and -1 for the right one. Groups with nothing in them are left out."""
+    count = F.floor((F.size(left) + F.size(right)) / GROUP) + 1
 
-    def one(group: Column, count: Column) -> Column:
-        mine = lambda digests: F.filter(digests, lambda d: F.pmod(F.xxhash64(d, F.lit("group"), attempt), count) == group)
-        return peel(subtract(sketch(mine(left), attempt), sketch(mine(right), attempt)), attempt)
+    def keyed(digests: Column, side: int) -> Column:
+        place = lambda d: F.pmod(F.xxhash64(d, F.lit("group")), count)
+        return F.transform(digests, lambda d: F.struct(place(d).alias("place"), F.lit(side).alias("side"), d.alias("digest")))
 
-    parts = let(groups, lambda count: F.transform(F.sequence(F.lit(0), count - 1), lambda g: one(g, count)))
-    return let(parts, lambda ps: F.when(F.forall(ps, lambda p: p.isNotNull()), F.flatten(ps)))
+    def cut(rows: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(rows, i)["place"] != F.get(rows, i - 1)["place"])
+        starts = F.filter(F.transform(rows, lambda _, i: i), first)
+        return let(starts, lambda at: F.transform(at, lambda start, k: F.slice(rows, start + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - start)))
+
+    return let(F.sort_array(F.concat(keyed(left, 1), keyed(right, -1))), cut)
+
+
+def settled(group: Column) -> Column:
+    """Differing digests of a group: peeled from sketches with other hashes each time, and where no attempt peels, as
+    when two digests share all their cells, taken from the two sides themselves."""
+    side = lambda n: F.transform(F.filter(group, lambda r: r["side"] == n), lambda r: r["digest"])
+    alone = lambda a, b, n: F.transform(F.array_except(a, b), lambda d: F.struct(F.lit(n).alias("n"), d.alias("digest")))
+    sides = F.struct(side(1).alias("left"), side(-1).alias("right"))
+
+    def tried(s: Column) -> Column:
+        attempts = F.aggregate(
+            F.sequence(F.lit(1), F.lit(RETRIES)), F.lit(None).cast(FOUND),
+            lambda found, seed: F.coalesce(found, peel(subtract(sketch(s["left"], seed), sketch(s["right"], seed)), seed)),
+        )
+        return F.coalesce(attempts, F.concat(alone(s["left"], s["right"], 1), alone(s["right"], s["left"], -1)).cast(FOUND))
+
+    return let(sides, tried)
 
 
 def differing(left: Column, right: Column, left_cells: Column, right_cells: Column) -> Column:
-    """Differing digests of two sets from their standard sketches, retried on larger ones; null if every attempt fails."""
-    none = F.lit(None).cast(FOUND)
-    retry = F.aggregate(
-        F.sequence(F.lit(1), F.lit(RETRIES)), none, lambda found, attempt: F.coalesce(found, retried(left, right, attempt))
-    )
-    return F.coalesce(peel(subtract(left_cells, right_cells), F.lit(0)), retry)
+    """Differing digests of two sets from their standard sketches; where those do not peel, group by group."""
+    return F.coalesce(peel(subtract(left_cells, right_cells), F.lit(0)), F.flatten(F.transform(grouped(left, right), settled)))
 
 
 def likeness(left: Column, right: Column, left_cells: Column, right_cells: Column) -> Column:

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from privasieve.llm import bpe, fingerprint, jaccard, mixing, pii, quality, repeats, secret_scan, sharding, topk
 
@@ -144,6 +145,20 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_texts_with_many_lines(spark):
+    texts = ["\n".join(f"{name} {i}" for i in range(at, at + 5000)) for name, at in (("a", 0), ("a", 2500), ("b", 0))]
+    got = {r.doc_id: r.near_next for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got[1] == pytest.approx(2500 / 7500) and got[2] == 0.0 and got[0] == 0.0
+
+
+def test_a_group_that_never_peels_is_compared_as_it_is(spark):
+    left, right = range(3 * fingerprint.CELLS), range(2, 3 * fingerprint.CELLS + 1)
+    group = [(0, 1, d) for d in left] + [(0, -1, d * 1000) for d in right]
+    frame = spark.createDataFrame([(group,)], "g array<struct<place:bigint,side:int,digest:bigint>>")
+    found = frame.select(fingerprint.settled(F.col("g")).alias("found")).first().found
+    assert sorted((r.n, r.digest) for r in found) == sorted([(1, d) for d in left] + [(-1, d * 1000) for d in right])
+
+
 def test_pii(docs, rows, empty):
     def luhn(d: str) -> bool:
         return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
