@@ -248,17 +248,31 @@ def joined(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of spans that overlap, the first one counts."""
+    """The text with every span replaced by its kind in brackets; spans that overlap are masked as one, to the furthest
+    end, with the kind of the longest (the first of equal ones)."""
 
     def rebuilt(ordered: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        nothing = F.lit(None).cast("string")
+        state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("longest"), nothing.alias("kind"), F.array().cast("array<string>").alias("out"))
+        name = lambda acc: F.concat(F.lit("["), F.upper(acc["kind"]), F.lit("]"))
+
+        def put(acc: Column, s: Column) -> Column:
+            size = s["end"] - s["start"]
+            longer = size > acc["longest"]
+            wider = F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"), F.greatest(acc["longest"], size).alias("longest"),
+                F.when(longer, s["kind"]).otherwise(acc["kind"]).alias("kind"), acc["out"].alias("out"),
+            )
+            between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+            following = F.struct(
+                s["end"].alias("at"), size.alias("longest"), s["kind"].alias("kind"),
+                F.concat(acc["out"], F.array(F.coalesce(name(acc), F.lit("")), between)).alias("out"),
+            )
+            return F.when(s["start"] < acc["at"], wider).otherwise(following)
+
         return F.aggregate(
-            ordered, state,
-            lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
-            )),
-            lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
+            ordered, state, put,
+            lambda acc: F.concat(F.array_join(acc["out"], ""), F.coalesce(name(acc), F.lit("")), F.substring(text, acc["at"] + 1, F.length(text))),
         )
 
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))

@@ -188,6 +188,14 @@ def test_pii_on_hard_texts(spark):
     assert len(got[1]) == 1 and len(got[6]) == 1 and got[3] == []
 
 
+def test_pii_masks_all_of_spans_that_overlap(spark):
+    texts = ["+14155550100@sms.example.com", "10.0.0.1.bob@host.com", "to +1 415-555-0100.joe@x.com, 10.0.0.1 and a@b.de", "10.0.0.1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r.text for r in pii.redact(frame).orderBy("doc_id").collect()] == ["[EMAIL]", "[EMAIL]", "to [EMAIL], [IP] and [EMAIL]", "[IP]"]
+    chain = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for k, a, b in (("ip", 1, 4), ("email", 3, 8), ("phone", 7, 10), ("card", 10, 12))])
+    assert spark.range(1).select(pii.masked(F.lit("abcdefghijklmn"), chain)).first()[0] == "a[EMAIL][CARD]mn"
+
+
 def test_jaccard(docs, rows, empty, monkeypatch):
     def shingles(text: str) -> frozenset:
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
