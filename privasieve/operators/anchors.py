@@ -157,14 +157,15 @@ def safe_label(label: Column) -> Column:
 
 
 def public_evidence(signals: DataFrame, key: str = "doc_id", top: int = 5) -> DataFrame:
-    """The first signals of each document as they may be shown."""
-    kept = Window.partitionBy(key).orderBy("seq")
+    """All signals of each document as they may be shown; those after the first `top` are `beyond_top`."""
+    order = Window.partitionBy(key).orderBy("seq")
     return (
-        signals.withColumn("place", F.row_number().over(kept)).filter(F.col("place") <= top)
+        signals.withColumn("place", F.row_number().over(order))
         .select(
             key, "seq", "type", "detector", F.round("confidence", 2).alias("confidence"),
             public_snippet(F.col("type"), F.col("snippet")).alias("snippet"),
             safe_label(F.concat(F.lit("Line "), F.col("line_number"))).alias("location_label"),
+            (F.col("place") > top).alias("beyond_top"),
         )
     )
 

@@ -119,7 +119,8 @@ EVIDENCE = EVIDENCE.replace("substring((SELECT p.snippet FROM prules p WHERE p.t
     "SELECT * FROM evi", EVIDENCE,
 )
 def public_evidence(spark, directory):
-    return anchors.public_evidence(signals(spark, directory))
+    """The part of the evidence that is shown, as the SQL has it."""
+    return anchors.public_evidence(signals(spark, directory)).filter(~F.col("beyond_top")).drop("beyond_top")
 
 
 @query(
@@ -128,7 +129,7 @@ def public_evidence(spark, directory):
     "(SELECT doc_id, location_label, min(seq) AS s FROM evi GROUP BY doc_id, location_label) l GROUP BY doc_id", EVIDENCE,
 )
 def evidence_locations(spark, directory):
-    found = findings.evidence_locations(anchors.public_evidence(signals(spark, directory)))
+    found = findings.evidence_locations(public_evidence(spark, directory))
     return found.withColumn("locations", F.array_join("locations", "|"))
 
 

@@ -93,6 +93,13 @@ def test_json_order_and_errors(spark):
     assert one(spark, extract.json_scalars(F.col("text")), "{broken") is None
 
 
+def test_evidence_beyond_the_top(spark):
+    rows = [(1, i, "email_address", "d", 0.9, "[REDACTED_EMAIL]", i) for i in range(1, 8)]
+    evidence = anchors.public_evidence(spark.createDataFrame(rows, "doc_id long, seq int, type string, detector string, confidence double, snippet string, line_number int"))
+    assert [r.beyond_top for r in evidence.orderBy("seq").collect()] == [False] * 5 + [True] * 2
+    assert findings.evidence_locations(evidence).first().locations == [f"Line {i}" for i in range(1, 8)]
+
+
 def test_json_records(spark):
     got = one(spark, extract.json_scalars(F.col("text"), records=True), '{"a": 1}\n\n{"a": [2, 3]}\n')
     assert [(f.path, f.text) for f in got] == [("/record[1]/field[1]", "a: 1"), ("/record[2]/field[1]/item[1]", "a: 2"), ("/record[2]/field[1]/item[2]", "a: 3")]
