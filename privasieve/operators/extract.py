@@ -16,7 +16,7 @@ from ..functions.text import MARK, collapse, empty, let, lines, running_starts,
 DELIMITERS = (",", ";", "\t", "|")
 FIELD_HEADERS = ("field", "field name", "label", "key", "attribute", "property")
 VALUE_HEADERS = ("value", "data", "content")
-JSON_DEPTH = 8
+NODES = "array<struct<path:string,label:string,value:string>>"
 
 
 def fragment_offsets(fragments: Column) -> Column:
@@ -170,12 +170,12 @@ def delimited(text: Column, tabs: bool = False) -> Column:
 # --- JSON --------------------------------------------------------------------------------------
 
 
-def json_scalars(text: Column, depth: int = JSON_DEPTH, records: bool = False) -> Column:
+def json_scalars(text: Column, records: bool = False) -> Column:
     """Scalars of a JSON value in document order as `key: value`; null for malformed JSON. With `records` every line that
     is not empty is a value of its own, and one malformed line makes the file malformed.
 
-    One pass per level: objects and arrays are opened where they stand. Objects are read as maps,
-    which keep the order of their keys.
+    One pass per level, until no container is left: objects and arrays are opened where they stand. Objects are read as
+    maps, which keep the order of their keys.
     """
 
     def spread(nodes: Column) -> Column:
@@ -192,10 +192,20 @@ def json_scalars(text: Column, depth: int = JSON_DEPTH, records: bool = False) -
     none = F.lit(None).cast("string")
     values = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda v: v != "") if records else F.array(F.trim(text))
     place = (lambda i: F.concat(F.lit("/record["), (i + 1).cast("string"), F.lit("]"))) if records else (lambda i: F.lit(""))
-    nodes = F.transform(values, lambda v, i: _node(place(i), none, v))
-    for _ in range(depth):
-        nodes = spread(nodes)
-    scalars = F.filter(nodes, lambda n: strip(n["value"]) != "")
+    nodes = F.transform(values, lambda v, i: _node(place(i), none, v)).cast(NODES)
+    state = F.struct(nodes.alias("nodes"), F.lit(True).alias("going"))
+
+    def step(s: Column, _: Column) -> Column:
+        def go(new: Column) -> Column:
+            left = F.exists(new, lambda n: n["value"].startswith("{") | n["value"].startswith("["))
+            return F.struct(new.alias("nodes"), (left & (new != s["nodes"])).alias("going"))
+
+        return F.when(s["going"], let(spread(s["nodes"]).cast(NODES), go)).otherwise(s)
+
+    # Every level has a bracket of its own, so there are no more levels than opening brackets.
+    levels = F.sequence(F.lit(0), F.length(text) - F.length(F.translate(text, "{[", "")))
+    opened = F.aggregate(levels, state, step, lambda s: s["nodes"])
+    scalars = F.filter(opened, lambda n: strip(n["value"]) != "")
     fragments = F.transform(
         scalars,
         lambda n: _fragment(

@@ -20,16 +20,15 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Text files below a folder, decoded. Files above their size limit keep a row without text."""
+    """Text files below a folder, decoded. Files above their size limit are named in `rejected` and keep their text."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
         .withColumnRenamed("length", "size_bytes").withColumn("name", F.element_at(F.split("path", "/"), -1))
     )
     gated = size_gate(files)
-    kept = F.when(F.col("rejected").isNull(), decode_text(F.col("content"), F.lit("")))
     return gated.select(
         "path", "name", "size_bytes", suffix_of(F.col("name")).alias("suffix"), "rejected",
-        classify(F.col("name"), F.lit("")).alias("format"), kept.alias("text"),
+        classify(F.col("name"), F.lit("")).alias("format"), decode_text(F.col("content"), F.lit("")).alias("text"),
     )
 
 

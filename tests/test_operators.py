@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from privasieve.functions import text as t
 from privasieve.operators import anchors, delta, detect, evaluate, extract, findings, inventory, manage, redact
+from privasieve.sources import files
 
 
 def one(spark, column, text):
@@ -93,6 +94,21 @@ def test_json_order_and_errors(spark):
     assert one(spark, extract.json_scalars(F.col("text")), "{broken") is None
 
 
+def test_json_of_any_depth(spark):
+    deep = '{"a": [' * 30 + '1, {"b": "x"}' + "]}" * 30
+    got = one(spark, extract.json_scalars(F.col("text")), deep)
+    assert [(f.path, f.text) for f in got] == [("/field[1]/item[1]" * 29 + "/field[1]" + "/item[1]", "a: 1"), ("/field[1]/item[1]" * 29 + "/field[1]/item[2]/field[1]", "b: x")]
+    assert [f.text for f in one(spark, extract.json_scalars(F.col("text")), '["{no json", {}, [], 2]')] == ["{no json", "2"]
+
+
+def test_large_files_keep_their_text(spark, tmp_path):
+    (tmp_path / "large.txt").write_text("a" * 1_200_000 + "@")
+    (tmp_path / "small.txt").write_text("b")
+    got = {r["name"]: r for r in files.read_texts(spark, str(tmp_path)).collect()}
+    assert got["large.txt"].rejected == "unsupported" and got["large.txt"].text == "a" * 1_200_000 + "@"
+    assert got["small.txt"].rejected is None and got["small.txt"].text == "b"
+
+
 def test_evidence_beyond_the_top(spark):
     rows = [(1, i, "email_address", "d", 0.9, "[REDACTED_EMAIL]", i) for i in range(1, 8)]
     evidence = anchors.public_evidence(spark.createDataFrame(rows, "doc_id long, seq int, type string, detector string, confidence double, snippet string, line_number int"))
