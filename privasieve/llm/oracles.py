@@ -40,4 +40,62 @@ ORACLES = {
             CAST(epochs * size + least(size, greatest(budget - epochs * source_size - earlier, 0)) AS BIGINT) AS taken
         FROM e
     """,
+    "op11_nra_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), s AS (
+            SELECT count(*) FILTER (len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d
+        ), q AS (
+            SELECT item_id, term, count(*) AS repeats
+            FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark
+            )
+            GROUP BY ALL
+        ), p AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+            FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+        ), r AS (
+            SELECT item_id, doc_id,
+                CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN w USING (term), s
+            GROUP BY ALL
+        ), k AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM r WHERE score > 0
+        )
+        SELECT * FROM k WHERE rank <= 20
+    """,
+    "op13_chunk_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        a AS (SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS (
+            SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s) AS BIGINT) AS p
+            FROM a WINDOW s AS (PARTITION BY lang, source)
+        ), q AS (
+            SELECT lang, term, CAST(1 + (1000000000 * (n + 5)) // (sum(n) OVER l + 5 * count(*) OVER l) AS BIGINT) AS q
+            FROM (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL) WINDOW l AS (PARTITION BY lang)
+        ), f AS (
+            SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+        ), u AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+    """,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, mixing, pii, quality, repeats, secret_scan, sharding, topk
+from . import bpe, divergence, fingerprint, jaccard, license_scan, mixing, pii, quality, ranked_search, repeats, secret_scan, sharding, topk
 from .oracles import ORACLES
 from .shared import documents, table
 
@@ -60,10 +60,22 @@ def op10_source_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(documents(spark, directory))
 
 
+def op11_nra_search(spark: SparkSession, directory: str) -> DataFrame:
+    return ranked_search.search(documents(spark, directory), table(spark, directory, "benchmark"))
+
+
+def op12_diagonal_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(documents(spark, directory)))
+
+
+def op13_chunk_divergence(spark: SparkSession, directory: str) -> DataFrame:
+    return divergence.audit(documents(spark, directory))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_repeats, op2_byte_bpe, op3_conv_quality, op4_exact_topk, op5_iblt_fingerprints, op6_weak_supervision_pii, op7_prefix_jaccard, op8_minimax_shards,
-        op9_markov_secrets, op10_source_mix,
+        op9_markov_secrets, op10_source_mix, op11_nra_search, op12_diagonal_licenses, op13_chunk_divergence,
     )
 }
