@@ -79,8 +79,10 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each of 256 ranges of hashes, up to 255."""
-    return np.minimum(np.bincount((tokens >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    """How many tokens fall into each of some equal ranges of hashes, up to 255: 256 ranges, or more for larger sets, a power
+    of two between a quarter and half of their tokens. So a sketch tells unlike sets apart at any size."""
+    bits = max(8, len(tokens).bit_length() - 2)
+    return np.minimum(np.bincount((tokens >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def prefix_length(n: int) -> int:
@@ -114,7 +116,7 @@ def pair_keys(frequent: np.ndarray, room: int, n: int) -> np.ndarray:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, key, sketch) of every row."""
+    """(doc_id, n, key, sketch, digest) of every row."""
     for batch in batches:
         sizes, keys, sketches = [], [], []
         for tokens in shingle_sets(texts_of(batch.column(1))):
@@ -122,7 +124,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(set_key(tokens) if len(tokens) else None)
             sketches.append(sketch(tokens))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n", "key", "sketch"]
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()), batch.column(2)],
+            ["doc_id", "n", "key", "sketch", "digest"],
         )
 
 
@@ -305,11 +308,16 @@ def crossing_pairs(found: DataFrame, labels: DataFrame, compared: DataFrame) ->
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops pairs whose range counts prove them unlike: no more tokens can be shared than the smaller count of each range."""
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
-        common = np.minimum(left, right).sum(1, dtype=np.int64)
-        total = left.sum(1, dtype=np.int64) + right.sum(1, dtype=np.int64)
-        full = (left == 255).any(1) | (right == 255).any(1)
-        keep = full | (DENOMINATOR * common >= NUMERATOR * (total - common))
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3))):
+            x, y = (np.frombuffer(side.as_buffer(), np.uint8) for side in (left, right))
+            if (x == 255).any() or (y == 255).any():
+                keep[i] = True  # a count may be more than 255
+                continue
+            ranges = min(len(x), len(y))
+            x, y = (z if len(z) == ranges else z.reshape(ranges, -1).sum(1) for z in (x, y))
+            common = int(np.minimum(x, y).sum(dtype=np.int64))
+            keep[i] = DENOMINATOR * common >= NUMERATOR * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64)) - common)
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
 
@@ -402,11 +410,16 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach). One row per row."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach). One row per row.
+
+    Two columns follow, which name rows and components where ids repeat: digest (xxhash64 of the text) and component_key (the
+    name of one set of the component; null for empty sets and rows without an id).
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    counted = settle(rows.mapInArrow(_members, "doc_id long, n long, key long, sketch binary"))
-    members = counted.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    digested = rows.withColumn("digest", F.xxhash64("text"))
+    counted = settle(digested.mapInArrow(_members, "doc_id long, n long, key long, sketch binary, digest long"))
+    members = counted.select("doc_id", F.col("n").alias("n_shingles"), "key", "digest")
     known = rows.filter("doc_id IS NOT NULL")
     total = counted.agg(F.sum("n")).first()[0] or 0
     frequent = frequent_tokens(known, total)
@@ -424,8 +437,12 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     labels = settle(components(stars.unionByName(verified(crossing, names, known))))
     tied = names.join(labels, "key").select("key", "label", "doc_id")
     least = tied.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_key = names.join(tied.select("key", "label").join(least, "label").select("key", "component_id"), "key", "left").select(
-        "key", F.coalesce("component_id", "doc_id").alias("component_id")
+    of_label = tied.select("key", "label").join(least, "label").select("key", "component_id", F.col("label").alias("component_key"))
+    by_key = names.join(of_label, "key", "left").select(
+        "key", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_key", "key").alias("component_key")
+    )
+    identified = F.col("doc_id").isNotNull()
+    return members.join(by_key, "key", "left").select(
+        "doc_id", "n_shingles", F.when(identified, F.coalesce("component_id", "doc_id")).alias("component_id"), "digest",
+        F.when(identified, F.col("component_key")).alias("component_key"),
     )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return members.join(by_key, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))

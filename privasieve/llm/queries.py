@@ -43,7 +43,7 @@ def op6_weak_supervision_pii(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op7_prefix_jaccard(spark: SparkSession, directory: str) -> DataFrame:
-    return jaccard.join(documents(spark, directory))
+    return jaccard.join(documents(spark, directory)).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_minimax_shards(spark: SparkSession, directory: str) -> DataFrame:
