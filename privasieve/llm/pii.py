@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MARK, FIELD, empty, let, match_spans
-from .shared import settle
+from .shared import held, settle
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = tuple(f"{k}_like" for k in BASE_KINDS)
@@ -281,10 +281,15 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The same rows and columns, with personal data masked in the text. Null texts stay null."""
-    found = docs.select(candidates(prepared(F.col(text_column))).alias("candidates"))
-    weights = train(settle(found.filter(F.size("candidates") > 0)))
-    spans = accepted(candidates(prepared(F.col(text_column))), weights)
-    return docs.withColumn(text_column, F.when(F.col(text_column).isNull(), F.lit(None)).otherwise(masked(F.col(text_column), spans)))
+    # Candidates and spans are worked out once each: the rows that hold them go on behind `held`.
+    first = held(docs, candidates(prepared(F.col(text_column))).alias("candidates"))
+    weights = train(settle(first.filter(F.size("candidates") > 0)))
+    own = [F.col(c) for c in docs.columns]
+    found = held(docs, F.struct(*own).alias("row"), candidates(prepared(F.col(text_column))).alias("found"))
+    marked = held(found, "row", accepted(F.col("found"), weights).alias("spans"))
+    text = F.col("row").getField(text_column)
+    hidden = F.when(text.isNull(), F.lit(None)).when(F.size("spans") == 0, text).otherwise(masked(text, F.col("spans")))
+    return marked.select(*(hidden.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def report(found: DataFrame) -> DataFrame:

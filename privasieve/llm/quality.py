@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ship
@@ -192,5 +192,21 @@ def score(docs: DataFrame, network, id_column: str = "doc_id", text_column: str
     return rows.mapInArrow(run, schema)
 
 
+def probability(spark: SparkSession, network):
+    """A function from a text column to its score, as `score` gives it. Only texts go to the Python workers and only scores
+    come back; the other columns of the rows stay where they are."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(network)
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for first in range(0, len(texts), 64):
+            parts.append(shared.value.score([t or b"" for t in texts.slice(first, 64).cast(pa.binary()).to_pylist()]))
+        return pa.array(np.round(np.concatenate(parts), DECIMALS) if parts else [], pa.float64())
+
+    return lambda text: run(text.cast("string"))
+
+
 def predicted(value: Column, threshold: float = THRESHOLD) -> Column:
     return (value >= threshold).cast("int")
