@@ -27,6 +27,7 @@ MARK, FIELD = "\u0001", "\u0002"
 
 SPAN = "struct<start:int,end:int,value:string>"
 _BLOCK = 128
+CUT = 2048  # code points
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -150,6 +151,93 @@ def running_starts(lengths: Column) -> Column:
     )
 
 
+def fold_blocks(
+    items: Column, zero: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], element_type: str
+) -> Column:
+    """What a fold over an array gives out, as one array.
+
+    `step(state, item)` returns the new fields of the state (those of `zero`) and an array of results. Results are gathered
+    block by block, and what has been gathered is in no lambda's value (those are copied), so time stays near linear.
+    """
+    none = empty(element_type)
+
+    def state(fields: dict[str, Column], out: Column) -> Column:
+        return F.struct(*(v.alias(k) for k, v in fields.items()), out.alias("out"))
+
+    def one_item(acc: Column, item: Column) -> Column:
+        fields, more = step(acc, item)
+        return state(fields, F.concat(acc["out"], more))
+
+    def one_block(acc: Column, block: Column) -> Column:
+        now = acc["now"]
+        folded = F.aggregate(block, state({f: now[f] for f in zero}, none), one_item)
+        return F.struct(F.concat(acc["done"], F.array(now["out"])).alias("done"), folded.alias("now"))
+
+    def by_blocks(everything: Column) -> Column:
+        last = F.floor((F.size(everything) - 1) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(everything, b * _BLOCK + 1, F.lit(_BLOCK)))
+        first = F.struct(F.array().cast(f"array<array<{element_type}>>").alias("done"), state(zero, none).alias("now"))
+        folded = F.aggregate(blocks, first, one_block, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]["out"]))))
+        return F.when(F.size(everything) == 0, none).otherwise(folded)
+
+    return let(items, by_blocks)
+
+
+def latest(values: Column) -> Column:
+    """For every element of an array the last one so far that is not null."""
+    place = F.transform(values, lambda v: v.isNotNull().cast("int"))
+
+    def pick(counted: Column, known: Column) -> Column:
+        return F.transform(values, lambda v, i: F.get(known, F.get(counted, i) + v.isNotNull().cast("int") - 1))
+
+    found = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(values) == 0, values).otherwise(let(running_starts(place), lambda counted: let(found, lambda known: pick(counted, known))))
+
+
+def preceding(starts: Column, positions: Column) -> Column:
+    """For every position the index of the last of the ascending `starts` that is not beyond it; -1 if all are.
+
+    Both arrays are merged by one sort inside the row: where a position stands among all, less its place among the
+    positions, is the number of starts before it.
+    """
+    marked = F.concat(
+        F.transform(starts, lambda s: F.struct(s.cast("int").alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("own"))),
+        F.transform(positions, lambda p, i: F.struct(p.cast("int").alias("at"), F.lit(1).alias("kind"), i.alias("own"))),
+    )
+
+    def counted(merged: Column) -> Column:
+        own = F.filter(F.transform(merged, lambda x, i: F.struct(x["own"].alias("own"), x["kind"].alias("kind"), i.alias("at"))), lambda x: x["kind"] == 1)
+        by_own = F.sort_array(F.transform(own, lambda x, rank: F.struct(x["own"].alias("own"), (x["at"] - rank - 1).alias("before"))))
+        return F.transform(by_own, lambda x: x["before"])
+
+    return let(F.sort_array(marked), counted)
+
+
+def running_max(values: Column, first: Column) -> Column:
+    """For every element of an array the largest of `first` and all earlier ones."""
+    zero = {"most": first.cast("int")}
+    return fold_blocks(values, zero, lambda acc, v: ({"most": F.greatest(acc["most"], v)}, F.array(acc["most"])), "int")
+
+
+def cutter(text: Column, body: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """Evaluate `body` with a function that cuts text[first:last].
+
+    The text is cut into stretches of CUT code points once, so a piece costs its own length and that of a stretch or two, and
+    not the length of the text before it.
+    """
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+    def with_stretches(parts: Column) -> Column:
+        def cut(first: Column, last: Column) -> Column:
+            low, high = F.floor(first / CUT).cast("int"), F.floor((last - 1) / CUT).cast("int")
+            near = F.array_join(F.slice(parts, low + 1, F.greatest(high - low + 1, F.lit(0))), "")
+            return F.when(first < last, F.substring(near, first - low * CUT + 1, last - first)).otherwise("")
+
+        return body(cut)
+
+    return let(stretches, with_stretches)
+
+
 def match_spans(text: Column, regex: str) -> Column:
     """All matches of a Java regex as array<struct<start,end,value>>, half-open code-point offsets.
 

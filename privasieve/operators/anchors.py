@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import display_type, let, running_starts, searchable, short_hash
+from ..functions.text import display_type, empty, let, preceding, running_starts, searchable, short_hash
 from .detect import line_number_at
 
 SOURCE_REFERENCE = "source_reference:"
@@ -85,7 +85,7 @@ def locate(signals: DataFrame, locations: DataFrame, key: str = "doc_id") -> Dat
 
 
 def line_column(line_starts: Column, position: Column, base_line: Column, base_column: Column) -> Column:
-    """Line and column of a position from the starts of its lines."""
+    """Line and column of a position from the starts of its lines (one position; for many see `located_signals`)."""
 
     def build(at: Column) -> Column:
         column = F.greatest(position - F.element_at(line_starts, at) + 1, F.lit(1))
@@ -170,6 +170,63 @@ def public_evidence(signals: DataFrame, key: str = "doc_id", top: int = 5) -> Da
     )
 
 
+LOCATED = (
+    "struct<seq:int,type:string,detector:string,confidence:double,snippet:string,start:int,end:int,anchor_id:string,format:string,selector:string,"
+    "path:string,label:string,page:int,line:int,column:int,source_start:int,source_end:int>"
+)
+
+
+def located_signals(
+    signals: Column, locations: Column, starts_of_lines: Column, file_format: Column, selector: Column, line_of: Column, column_of: Column
+) -> Column:
+    """The signals of a document in the order of their positions, each with the place that holds it: one array of LOCATED.
+
+    Signals, locations (spans by start that do not overlap) and line starts are merged by position inside the row, so a document
+    with many of each costs little more than one with few, and nothing is shuffled. `line_of` and `column_of` tell where a
+    location begins in its source (null: count lines and columns in the text itself). A signal that no location holds keeps its
+    text position alone.
+    """
+
+    def merged(ordered: Column) -> Column:
+        positions = F.transform(ordered, lambda s: s["start"])
+
+        def told(at: Column, line_at: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                place = F.when(F.get(at, i) >= 0, F.get(locations, F.get(at, i)))
+                inside = F.coalesce(s["start"] >= place["start"], F.lit(False)) & F.coalesce(s["end"] <= place["end"], F.lit(False))
+
+                def within(x: Column) -> Column:
+                    return F.when(inside, x)
+
+                own_line = F.get(line_at, i)
+                column = s["start"] - F.get(starts_of_lines, own_line) + 1
+                return F.struct(
+                    s["seq"].alias("seq"), s["signal"]["type"].alias("type"), s["signal"]["detector"].alias("detector"),
+                    s["signal"]["confidence"].alias("confidence"), s["signal"]["snippet"].alias("snippet"), s["start"].alias("start"), s["end"].alias("end"),
+                    anchor_id(s["signal"]["type"], s["signal"]["detector"], s["start"], s["end"]).alias("anchor_id"),
+                    F.when(inside, file_format).otherwise("text").alias("format"), F.when(inside, selector).otherwise("textPosition").alias("selector"),
+                    within(place["path"]).alias("path"),
+                    within(place["label"]).alias("label"), F.lit(None).cast("int").alias("page"),
+                    within(F.when(selector == "textPosition", F.coalesce(line_of_place(place), own_line + 1))).alias("line"),
+                    within(F.when(selector == "textPosition", F.coalesce(column_of_place(place) + s["start"] - place["start"], column))).alias("column"),
+                    within(s["start"] - place["start"]).alias("source_start"), within(s["end"] - place["start"]).alias("source_end"),
+                )
+
+            return F.transform(ordered, one)
+
+        starts = F.transform(locations, lambda p: p["start"])
+        return let(preceding(starts, positions), lambda at: let(preceding(starts_of_lines, positions), lambda line_at: told(at, line_at)))
+
+    def line_of_place(place: Column) -> Column:
+        return F.when(line_of, place["path"].try_cast("int"))
+
+    def column_of_place(place: Column) -> Column:
+        return F.when(line_of, F.get(column_of, place["path"].try_cast("int") - 1) + 1)
+
+    numbered = F.transform(signals, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), (i + 1).alias("seq"), s.alias("signal")))
+    return F.when(F.size(signals) == 0, empty(LOCATED)).otherwise(let(F.array_sort(numbered), merged)).cast(f"array<{LOCATED}>")
+
+
 def text_lines_as_locations(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each line of a text as a location with its span."""
     return lines.select(

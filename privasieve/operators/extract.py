@@ -7,16 +7,19 @@ value lies in the fragment. `with_text` joins the fragments and places them in t
 from __future__ import annotations
 
 import html.entities
+import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.text import MARK, collapse, empty, let, lines, running_starts, searchable, strip
+from ..functions.text import MARK, collapse, empty, fold_blocks, latest, let, lines, lstrip, preceding, running_starts, searchable, strip
 
 DELIMITERS = (",", ";", "\t", "|")
 FIELD_HEADERS = ("field", "field name", "label", "key", "attribute", "property")
 VALUE_HEADERS = ("value", "data", "content")
-NODES = "array<struct<path:string,label:string,value:string>>"
+FRAGMENT = "struct<text:string,value_at:int,path:string,label:string,label_path:string,label_label:string>"
 
 
 def fragment_offsets(fragments: Column) -> Column:
@@ -50,16 +53,38 @@ def place(fragments: Column) -> Column:
     )).otherwise(let(fragment_offsets(F.transform(fragments, lambda f: f["text"])), located))
 
 
-def _fragment(label: Column, value: Column, path: Column, block: Column) -> Column:
+def _fragment(label: Column, value: Column, path: Column, block: Column, label_path: Column | None = None, label_block: Column | None = None) -> Column:
+    """What goes into the text. A label that stands in a cell of its own has a place of its own."""
     has = F.coalesce(label, F.lit("")) != ""
+    none = F.lit(None).cast("string")
     return F.struct(
         F.when(has, F.concat(label, F.lit(": "), value)).otherwise(value).alias("text"),
         F.when(has, F.length(label) + 2).otherwise(0).alias("value_at"),
         path.alias("path"),
         block.alias("label"),
+        (none if label_path is None else label_path).alias("label_path"),
+        (none if label_block is None else label_block).alias("label_label"),
     )
 
 
+LOCATION = "struct<start:int,end:int,path:string,label:string>"
+
+
+def locations(fragments: Column) -> Column:
+    """Where the values, and the labels with a cell of their own, lie in the joined text: spans by start that do not overlap."""
+
+    def spans(starts: Column) -> Column:
+        def of_one(f: Column, i: Column) -> Column:
+            first = F.get(starts, i)
+            value = F.struct((first + f["value_at"]).alias("start"), (first + F.length(f["text"])).alias("end"), f["path"].alias("path"), f["label"].alias("label"))
+            label = F.struct(first.alias("start"), (first + f["value_at"] - 2).alias("end"), f["label_path"].alias("path"), f["label_label"].alias("label"))
+            return F.when(f["label_path"].isNull(), F.array(value)).otherwise(F.array(label, value))
+
+        return F.flatten(F.transform(fragments, of_one)).cast(f"array<{LOCATION}>")
+
+    return F.when(F.size(fragments) == 0, empty(LOCATION)).otherwise(let(fragment_offsets(F.transform(fragments, lambda f: f["text"])), spans))
+
+
 def plain_text(text: Column) -> Column:
     """One location over a whole text: struct<start,end,line_starts>."""
     parts = F.split(searchable(text), "\n", -1)
@@ -156,7 +181,7 @@ def delimited(text: Column, tabs: bool = False) -> Column:
                 bare = F.transform(used, lambda c: _fragment(F.lit(None).cast("string"), c["value"], *at(c["column"])))
                 titled = F.transform(used, lambda c: _fragment(F.get(header, c["column"] - 1), c["value"], *at(c["column"])))
                 is_pair = (F.size(used) >= 2) & F.length(a["value"]).between(1, 72) & (F.length(b["value"]) >= 2) & ~a["value"].rlike("[:：]")
-                pair = F.array(_fragment(a["value"], b["value"], *at(b["column"])))
+                pair = F.array(_fragment(a["value"], b["value"], *at(b["column"]), *at(a["column"])))
                 body = F.when(known & ~pairs, titled).when(F.coalesce(is_pair, F.lit(False)), pair).otherwise(bare)
                 return F.when(known & (number == head), F.filter(bare, lambda x: F.lit(False))).otherwise(body)
 
@@ -170,77 +195,165 @@ def delimited(text: Column, tabs: bool = False) -> Column:
 # --- JSON --------------------------------------------------------------------------------------
 
 
-def json_scalars(text: Column, records: bool = False) -> Column:
-    """Scalars of a JSON value in document order as `key: value`; null for malformed JSON. With `records` every line that
-    is not empty is a value of its own, and one malformed line makes the file malformed.
+_JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]++'
+_OPEN = "array<struct<object:boolean,n:int,label:string,path:string,ordinal:string>>"
+_LEAF = "struct<path:string,ordinal:string,label:string,value:string>"
 
-    One pass per level, until no container is left: objects and arrays are opened where they stand. Objects are read as
-    maps, which keep the order of their keys.
-    """
 
-    def spread(nodes: Column) -> Column:
-        def open_one(n: Column) -> Column:
-            fields = F.map_entries(F.from_json(n["value"], "map<string,string>"))
-            items = F.from_json(n["value"], "array<string>")
-            as_fields = F.transform(fields, lambda e, i: _node(F.concat(n["path"], F.lit("/field["), (i + 1).cast("string"), F.lit("]")), e["key"], e["value"]))
-            as_items = F.transform(items, lambda v, i: _node(F.concat(n["path"], F.lit("/item["), (i + 1).cast("string"), F.lit("]")), n["label"], v))
-            kept = F.array(n)
-            return F.when(n["value"].startswith("{"), F.coalesce(as_fields, kept)).when(n["value"].startswith("["), F.coalesce(as_items, kept)).otherwise(kept)
+def _plain_json(text: Column, per_line: bool = False) -> Column:
+    """JSON texts, or the lines of files as one array, as strict JSON: the last value of a repeated key counts. Null for
+    malformed texts."""
+
+    def plain(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                value = None if text is None else [json.loads(line) for line in text] if per_line else json.loads(text)
+                out.append(None if text is None else json.dumps(value, ensure_ascii=False))
+            except (ValueError, RecursionError):
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(plain, StringType())(text)
+
+
+def _sound(text: Column) -> Column:
+    """Whether a text is one JSON value without repeated keys, with nothing behind it."""
+
+    def alone(parsed: Column) -> Column:
+        return F.try_variant_get(parsed, "$[0]", "variant").isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull()
+
+    return F.coalesce(let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), alone), F.lit(False))
+
 
-        return F.filter(F.flatten(F.transform(nodes, open_one)), lambda n: n["value"].isNotNull())
+def strict_json(text: Column) -> Column:
+    """A JSON text without repeated keys; null for malformed JSON. Only texts that Spark's own parser refuses go to Python,
+    where a repeated key is told from a malformed text."""
+    fine = _sound(text)
+    return F.when(fine, text).otherwise(_plain_json(F.when(fine, F.lit(None)).otherwise(text)))
 
+
+def _json_string(token: Column) -> Column:
+    inside = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(token.contains("\\"), F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), 0)).otherwise(inside)
+
+
+def _json_leaves(value: Column) -> Column:
+    """The scalars of one JSON value with the paths of their places: a fold over its tokens that keeps the open containers."""
+    tokens = F.regexp_extract_all(value, F.lit(_JSON_TOKEN), F.lit(0))
     none = F.lit(None).cast("string")
-    values = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda v: v != "") if records else F.array(F.trim(text))
-    place = (lambda i: F.concat(F.lit("/record["), (i + 1).cast("string"), F.lit("]"))) if records else (lambda i: F.lit(""))
-    nodes = F.transform(values, lambda v, i: _node(place(i), none, v)).cast(NODES)
-    state = F.struct(nodes.alias("nodes"), F.lit(True).alias("going"))
-
-    def step(s: Column, _: Column) -> Column:
-        def go(new: Column) -> Column:
-            left = F.exists(new, lambda n: n["value"].startswith("{") | n["value"].startswith("["))
-            return F.struct(new.alias("nodes"), (left & (new != s["nodes"])).alias("going"))
-
-        return F.when(s["going"], let(spread(s["nodes"]).cast(NODES), go)).otherwise(s)
-
-    # Every level has a bracket of its own, so there are no more levels than opening brackets.
-    levels = F.sequence(F.lit(0), F.length(text) - F.length(F.translate(text, "{[", "")))
-    opened = F.aggregate(levels, state, step, lambda s: s["nodes"])
-    scalars = F.filter(opened, lambda n: strip(n["value"]) != "")
-    fragments = F.transform(
-        scalars,
-        lambda n: _fragment(
-            n["label"], strip(n["value"]), F.when(n["path"] == "", "/value").otherwise(n["path"]),
-            F.concat(F.lit("JSON field "), F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(n["path"], F.lit(r"field\[(\d+)\]"), F.lit(1)), "."), F.lit("")), F.lit("value"))),
-        ),
-    )
-    return F.when(F.forall(values, lambda v: F.try_parse_json(v).isNotNull()), fragments)
+    zero = {"open": F.array().cast(_OPEN), "key": F.lit(False)}
+
+    def place(inner: Column) -> tuple[Column, Column, Column]:
+        """Path, ordinal and label of the entry that the innermost container is at."""
+        n = inner["n"].cast("string")
+        path = F.concat(inner["path"], F.when(inner["object"], "/field[").otherwise("/item["), n, F.lit("]"))
+        ordinal = F.when(inner["object"], F.concat_ws(".", F.nullif(inner["ordinal"], F.lit("")), n)).otherwise(inner["ordinal"])
+        return F.coalesce(path, F.lit("")), F.coalesce(ordinal, F.lit("")), inner["label"]
+
+    def step(acc: Column, token: Column) -> tuple[dict[str, Column], Column]:
+        size = F.size(acc["open"])
+        below = F.slice(acc["open"], F.lit(1), F.greatest(size - 1, F.lit(0)))
+        top = F.get(acc["open"], size - 1)
+        mark, comma, closes, opens = token.isin(",", ":"), token == ",", token.isin("}", "]"), token.isin("{", "[")
+        key = acc["key"] & token.startswith('"')
+
+        def counted(label: Column) -> Column:
+            return F.struct(top["object"].alias("object"), (top["n"] + 1).alias("n"), label.alias("label"), top["path"].alias("path"), top["ordinal"].alias("ordinal"))
+
+        # An item counts when its value begins, a field when its key is read.
+        stays = (size == 0) | top["object"]
+        entry = F.when(stays, top).otherwise(counted(top["label"]))
+        current = F.when(stays, acc["open"]).otherwise(F.concat(below, F.array(counted(top["label"]))))
+
+        def inner(e: Column) -> Column:
+            path, ordinal, label = place(e)
+            return F.struct((token == "{").alias("object"), F.lit(0).alias("n"), label.alias("label"), path.alias("path"), ordinal.alias("ordinal"))
+
+        def leaf(e: Column) -> Column:
+            path, ordinal, label = place(e)
+            text = F.when(token.startswith('"'), _json_string(token)).when(token == "null", none).otherwise(token)
+            return F.array(F.struct(path.alias("path"), ordinal.alias("ordinal"), label.alias("label"), text.alias("value")))
+
+        fields = {
+            "open": F.when(mark, acc["open"]).when(closes, below).when(key, F.concat(below, F.array(counted(_json_string(token)))))
+            .when(opens, F.concat(current, F.array(let(entry, inner)))).otherwise(current),
+            "key": F.when(comma, F.coalesce(top["object"], F.lit(False))).otherwise(token == "{"),
+        }
+        return fields, F.when(mark | closes | key | opens, empty(_LEAF)).otherwise(let(entry, leaf))
+
+    return fold_blocks(tokens, zero, step, _LEAF)
+
+
+def json_scalars(text: Column, records: bool | str = False) -> Column:
+    """Scalars of a JSON value in document order as `key: value`; null for malformed JSON. A string is a scalar whatever it
+    looks like; of a repeated key the last value counts, at the key's first place.
+
+    The column may not stand inside a lambda, as it asks Python about texts that Spark's parser refuses.
+
+    With `records` every line that is not empty is a value of its own, and one malformed line makes the file malformed. A name
+    given as `records` ("jsonl", "ndjson") is told in the block labels.
+    """
+    values = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda v: v != "") if records else F.array(strip(text))
+    if records:
+        whole = F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
+        sound = F.forall(values, _sound)
+        # Lines are parsed one by one, so that an array of them cannot close a broken line with the next one.
+        strict = F.when(sound, whole).otherwise(_plain_json(F.when(sound, F.lit(None).cast("array<string>")).otherwise(values), per_line=True))
+    else:
+        strict = strict_json(text)
+    kind = records.upper() if isinstance(records, str) else "JSON"
 
+    def fragment(n: Column) -> Column:
+        ordinal = F.when(n["ordinal"] == "", "value").otherwise(n["ordinal"])
+        if not records:
+            where, label = F.when(n["path"] == "", "/value").otherwise(n["path"]), F.concat(F.lit("JSON field "), ordinal)
+        else:
+            where = F.regexp_replace(n["path"], r"\A/item", "/record")
+            number = F.regexp_extract(n["path"], r"\A/item\[(\d+)\]", 1)
+            label = F.concat(F.lit(f"{kind} record "), number, F.lit(" field "), ordinal) if isinstance(records, str) else F.concat(F.lit("JSON field "), ordinal)
+        return _fragment(n["label"], strip(n["value"]), where, label)
 
-def _node(path: Column, label: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), label.alias("label"), value.alias("value"))
+    leaves = F.filter(_json_leaves(strict), lambda n: F.coalesce(strip(n["value"]), F.lit("")) != "")
+    return F.when(strict.isNotNull(), F.transform(leaves, fragment))
 
 
 # --- XML and HTML ------------------------------------------------------------------------------
 
-_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Names that count without a semicolon too, by the HTML rules; the longest one at a place counts.
+_BARE_NAMES = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True)
+_BARE = "|".join(_BARE_NAMES)
+_ENTITY = rf"&(#[0-9]{{1,7}}+;?|#[xX][0-9A-Fa-f]{{1,6}}+;?|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{_BARE}))"
+_COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\xa0", "apos;": "'"}
 
 
 def _entities() -> Column:
-    named = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
-    return F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    """All names as one constant, not as an expression of thousands of parts."""
+    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a numeric reference, by the HTML rules for codes that name none."""
+    digits = F.rtrim(F.substring(code, F.lit(2), F.length(code)), F.lit(";"))
+    hexadecimal = F.lower(F.substring(code, 2, 1)) == "x"
+    number = F.when(hexadecimal, F.conv(F.substring(digits, F.lit(2), F.length(digits)), 16, 10)).otherwise(digits).cast("long")
+    # Codes of the C1 range name the characters of an old code page.
+    windows = F.get(F.split(F.lit("\x1f".join(bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0))), "\x1f"), (number - 0x80).cast("int"))
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    nothing = number.between(1, 8) | number.between(14, 31) | number.between(127, 127) | number.isin(11, 0xFFFE, 0xFFFF)
+    return F.when(bad, "\ufffd").when(number.between(0x80, 0x9F), windows).when(nothing, "").otherwise(plain)
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references with a semicolon, named and numeric, as their characters."""
+    """Character references as their characters: numeric ones, names with a semicolon, and those that need none."""
     parts = F.split(F.regexp_replace(text, F.lit(_ENTITY), F.lit(f"{MARK}$1{MARK}")), MARK, -1)
 
     def character(code: Column) -> Column:
-        hexadecimal = F.lower(F.substring(code, 2, 1)) == "x"
-        digits = F.when(hexadecimal, F.substring(code, F.lit(3), F.length(code))).otherwise(F.substring(code, F.lit(2), F.length(code)))
-        point = F.when(hexadecimal, F.lpad(digits, 8, "0")).otherwise(F.lpad(F.hex(digits.try_cast("long")), 8, "0"))
-        number = F.decode(F.unhex(point), "UTF-32")
-        named = F.try_element_at(_entities(), code)
-        return F.when(code.startswith("#"), number).otherwise(F.coalesce(named, F.concat(F.lit("&"), code, F.lit(";"))))
+        named = F.coalesce(*(F.when(code == k, v) for k, v in _COMMON.items()), F.try_element_at(_entities(), code))
+        start = F.regexp_extract(code, rf"\A(?:{_BARE})", 0)
+        bare = F.concat(F.try_element_at(_entities(), start), F.substring(code, F.length(start) + 1, F.length(code)))
+        return F.when(code.startswith("#"), _code_point(code)).otherwise(F.coalesce(named, bare, F.concat(F.lit("&"), code)))
 
     decoded = let(parts, lambda ps: F.array_join(F.transform(ps, lambda p, i: F.when(i % 2 == 1, character(p)).otherwise(p)), ""))
     return F.when(text.contains("&"), decoded).otherwise(text)
@@ -251,34 +364,82 @@ _HTML_TOKEN = (
 )
 
 
+_NODE = "struct<value:string,tag:string,at:int,up:array<int>,key:string>"
+
+
 def html_texts(text: Column) -> Column:
-    """Text nodes with white space collapsed, in order, with the tag before each node.
+    """Text nodes with white space collapsed, in order, each with the path of the open tags around it. The content of script and
+    style is text too, but its references are not decoded.
 
-    The content of script and style is text too, but its references are not decoded.
+    A fold over the tokens keeps the stack of open tags. An end tag closes all up to the last open tag of its name (all, if
+    there is none); tags without an end tag stay open until then. A tag's number counts the tags before it that have the same
+    name and the same names around them. Numbers are told after the fold, by one sort over the tags.
     """
     tokens = F.regexp_extract_all(searchable(text), F.lit(_HTML_TOKEN), F.lit(0))
 
     def parsed(token: Column) -> Column:
         raw = F.regexp_extract(token, r"(?is)\A<(script|style)\b[^>]*>", 0)
-        tag = F.lower(F.regexp_extract(token, r"(?i)\A</?([a-z][a-z0-9]*)", 1))
+        tag = F.lower(F.regexp_extract(token, r"(?i)\A</?([a-z][^\s/>]*)", 1))
         is_tag = token.rlike(r"(?i)\A<(?:[!?]|/?[a-z])")
         value = F.when(raw != "", F.substring(token, F.length(raw) + 1, F.length(token))).when(is_tag, F.lit("")).otherwise(decode_entities(token))
-        return F.struct(tag.alias("tag"), collapse(value).alias("value"), token.startswith("</").alias("closing"))
+        return F.struct(
+            tag.alias("tag"), collapse(value).alias("value"), token.startswith("</").alias("closing"),
+            ((raw == "") & is_tag & token.endswith("/>")).alias("single"),
+        )
 
-    def nodes(items: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            before = F.when(t["tag"] != "", t["tag"]).otherwise(F.coalesce(F.nullif(F.get(items, i - 1)["tag"], F.lit("")), F.lit("text")))
-            return F.struct(t["value"].alias("value"), before.alias("tag"))
+    zero = {"names": F.array().cast("array<string>"), "ups": F.array().cast("array<int>"), "n": F.lit(0)}
 
-        return F.filter(F.transform(items, one), lambda n: n["value"] != "")
+    def step(acc: Column, token: Column) -> tuple[dict[str, Column], Column]:
+        none, nowhere = F.lit(None).cast("string"), F.lit(None).cast("int")
 
-    found = let(F.transform(tokens, parsed), nodes)
-    return F.transform(
-        found,
-        lambda n, i: _fragment(
-            F.lit(None).cast("string"), n["value"], F.concat(F.lit("/node["), (i + 1).cast("string"), F.lit("]")),
-            F.concat(F.lit("HTML "), n["tag"], F.lit(" "), (i + 1).cast("string"))),
-    )
+        def node(value: Column, tag: Column, at: Column, up: Column, key: Column) -> Column:
+            return F.struct(value.alias("value"), tag.alias("tag"), at.alias("at"), up.alias("up"), key.alias("key"))
+
+        def words(up: Column) -> Column:
+            return F.when(token["value"] != "", F.array(node(token["value"], none, nowhere, up, none))).otherwise(empty(_NODE))
+
+        back = F.array_position(F.reverse(acc["names"]), token["tag"]).cast("int")
+        left = F.when(back == 0, 0).otherwise(F.size(acc["names"]) - back)
+        names, ups = F.concat(acc["names"], F.array(token["tag"])), F.concat(acc["ups"], F.array(acc["n"]))
+        opens = (token["tag"] != "") & ~token["closing"]
+        stays = opens & ~token["single"]
+        fields = {
+            "names": F.when(token["closing"], F.slice(acc["names"], F.lit(1), left)).when(stays, names).otherwise(acc["names"]),
+            "ups": F.when(token["closing"], F.slice(acc["ups"], F.lit(1), left)).when(stays, ups).otherwise(acc["ups"]),
+            "n": F.when(opens, acc["n"] + 1).otherwise(acc["n"]),
+        }
+        tag = F.array(node(none, token["tag"], acc["n"], ups, F.array_join(names, "/")))
+        return fields, F.when(token["closing"], empty(_NODE)).when(opens, F.concat(tag, words(ups))).otherwise(words(acc["ups"]))
+
+    def numbered(nodes: Column) -> Column:
+        tags = F.filter(nodes, lambda x: x["tag"].isNotNull())
+        texts = F.filter(nodes, lambda x: x["value"].isNotNull())
+        by_key = F.sort_array(F.transform(tags, lambda x: F.struct(x["key"].alias("key"), x["at"].alias("at"))))
+
+        def count(ordered: Column) -> Column:
+            fresh = F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["key"] != x["key"]), i))
+            def own(first: Column) -> Column:
+                return F.transform(ordered, lambda x, i: F.struct(x["at"].alias("at"), (i - F.get(first, i) + 1).alias("number")))
+
+            first = let(fresh, latest)
+            return F.transform(F.sort_array(let(first, own)), lambda x: x["number"])
+
+        def told(names: Column, numbers: Column) -> Column:
+            def part(i: Column) -> Column:
+                return F.concat(F.get(names, i), F.lit("["), F.get(numbers, i).cast("string"), F.lit("]"))
+
+            def one(x: Column, i: Column) -> Column:
+                inner = F.get(x["up"], F.size(x["up"]) - 1)
+                label = F.when(inner.isNull(), F.concat(F.lit("HTML text "), (i + 1).cast("string"))).otherwise(
+                    F.concat(F.lit("HTML "), F.get(names, inner), F.lit(" "), F.get(numbers, inner).cast("string")))
+                path = F.concat(F.lit("/"), F.array_join(F.transform(x["up"], part), "/"))
+                return _fragment(F.lit(None).cast("string"), x["value"], path, label)
+
+            return F.transform(texts, one)
+
+        return let(F.transform(tags, lambda x: x["tag"]), lambda names: let(F.when(F.size(by_key) == 0, F.array().cast("array<int>")).otherwise(let(by_key, count)), lambda numbers: told(names, numbers)))
+
+    return let(fold_blocks(F.transform(tokens, parsed), zero, step, _NODE), numbered)
 
 
 _XML_TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')++>"""
@@ -308,61 +469,65 @@ def xml_scalars(text: Column) -> Column:
     """Attributes and element texts as `name: value` with the element's ordinal path; null for malformed XML. Namespace
     declarations are no attributes.
 
-    A fold over the tags keeps the path of open elements, so any nesting is walked in one pass.
+    A fold over the tags keeps the path of open elements, so any nesting is walked in one pass, block by block.
     """
     tokens = F.regexp_extract_all(xml_elements(searchable(text)), F.lit(_XML_TOKEN), F.lit(0))
-    zero = F.struct(
-        F.array().cast("array<int>").alias("path"), F.array(F.lit(0)).alias("children"),
-        empty("struct<text:string,value_at:int,path:string,label:string>").alias("out"),
-    )
+    zero = {"path": F.array().cast("array<int>"), "children": F.array(F.lit(0))}
 
     def local(name: Column) -> Column:
         return F.element_at(F.split(name, ":"), -1)
 
-    def step(acc: Column, token: Column) -> Column:
+    def parsed(token: Column) -> Column:
+        def parts(tag: Column) -> Column:
+            head = F.substring(tag, F.lit(2), F.length(tag) - 2)
+            pairs = F.regexp_extract_all(head, F.lit(r"""\s[^\s=]+\s*=\s*(?:"[^"]*"|'[^']*')"""), F.lit(0))
+            pairs = F.filter(pairs, lambda x: ~x.rlike(r"\A\s+xmlns(?:\s*=|:)"))
+
+            def attribute(x: Column) -> Column:
+                quoted = F.regexp_extract(x, r"(?s)\A[^=]*=\s*(.*)\z", 1)
+                return F.struct(
+                    local(F.regexp_extract(x, r"\A\s([^\s=]+)", 1)).alias("name"),
+                    collapse(decode_entities(F.regexp_replace(quoted, r"\A.|.\z", ""))).alias("value"),
+                )
+
+            return F.struct(
+                tag.startswith("</").alias("closing"), head.endswith("/").alias("single"),
+                local(F.regexp_extract(head, r"\A([^\s/]+)", 1)).alias("name"),
+                collapse(decode_entities(F.substring(token, F.length(tag) + 1, F.length(token)))).alias("value"),
+                F.transform(pairs, attribute).alias("attributes"),
+            )
+
+        return let(F.regexp_extract(token, _XML_HEAD, 1), parts)
+
+    def step(acc: Column, token: Column) -> tuple[dict[str, Column], Column]:
         depth = F.size(acc["path"])
-        closed = F.struct(
-            F.slice(acc["path"], F.lit(1), F.greatest(depth - 1, F.lit(0))).alias("path"),
-            F.slice(acc["children"], F.lit(1), F.greatest(F.size(acc["children"]) - 1, F.lit(1))).alias("children"),
-            acc["out"].alias("out"),
-        )
-        tag = F.regexp_extract(token, _XML_HEAD, 1)
-        head = F.substring(tag, F.lit(2), F.length(tag) - 2)
-        single = head.endswith("/")
-        name = local(F.regexp_extract(head, r"\A([^\s/]+)", 1))
-        value = collapse(decode_entities(F.substring(token, F.length(tag) + 1, F.length(token))))
-        pairs = F.regexp_extract_all(head, F.lit(r"""\s[^\s=]+\s*=\s*(?:"[^"]*"|'[^']*')"""), F.lit(0))
-        pairs = F.filter(pairs, lambda x: ~x.rlike(r"\A\s+xmlns(?:\s*=|:)"))
-        names = F.transform(pairs, lambda x: F.regexp_extract(x, r"\A\s([^\s=]+)", 1))
-        quoted = F.transform(pairs, lambda x: F.regexp_extract(x, r"(?s)\A[^=]*=\s*(.*)\z", 1))
-
-        def opened(me: Column) -> Column:
-            path = F.concat(acc["path"], F.array(me))
+        me = F.element_at(acc["children"], -1) + 1
+        siblings = F.concat(F.slice(acc["children"], F.lit(1), F.size(acc["children"]) - 1), F.array(me))
+
+        def told(path: Column) -> Column:
             where = F.concat(F.lit("/"), F.array_join(F.transform(path, lambda p: F.concat(F.lit("element["), p.cast("string"), F.lit("]"))), "/"))
             ordinal = F.array_join(F.transform(path, lambda p: p.cast("string")), ".")
             attributes = F.filter(
                 F.transform(
-                    names,
-                    lambda n, i: _fragment(
-                        local(n), collapse(decode_entities(F.regexp_replace(quoted[i], r"\A.|.\z", ""))),
-                        F.concat(where, F.lit("/attribute["), (i + 1).cast("string"), F.lit("]")),
+                    token["attributes"],
+                    lambda x, i: _fragment(
+                        x["name"], x["value"], F.concat(where, F.lit("/attribute["), (i + 1).cast("string"), F.lit("]")),
                         F.concat(F.lit("XML element "), ordinal, F.lit(" attribute "), (i + 1).cast("string"))),
                 ),
                 lambda f: F.length(f["text"]) > f["value_at"],
             )
-            body = _fragment(name, value, where, F.concat(F.lit("XML element "), ordinal))
-            texts = F.when((value != "") & ~single, F.array(body)).otherwise(empty("struct<text:string,value_at:int,path:string,label:string>"))
-            out = F.concat(acc["out"], attributes, texts)
-            siblings = F.concat(F.slice(acc["children"], F.lit(1), F.size(acc["children"]) - 1), F.array(me))
-            return F.struct(
-                F.when(single, acc["path"]).otherwise(path).alias("path"),
-                F.when(single, siblings).otherwise(F.concat(siblings, F.array(F.lit(0)))).alias("children"),
-                out.alias("out"),
-            )
+            body = F.array(_fragment(token["name"], token["value"], where, F.concat(F.lit("XML element "), ordinal)))
+            return F.concat(attributes, F.when((token["value"] != "") & ~token["single"], body).otherwise(empty(FRAGMENT)))
 
-        return F.when(token.startswith("</"), closed).otherwise(let(F.element_at(acc["children"], -1) + 1, opened))
+        inside = F.concat(acc["path"], F.array(me))
+        fields = {
+            "path": F.when(token["closing"], F.slice(acc["path"], F.lit(1), F.greatest(depth - 1, F.lit(0)))).when(token["single"], acc["path"]).otherwise(inside),
+            "children": F.when(token["closing"], F.slice(acc["children"], F.lit(1), F.greatest(F.size(acc["children"]) - 1, F.lit(1))))
+            .when(token["single"], siblings).otherwise(F.concat(siblings, F.array(F.lit(0)))),
+        }
+        return fields, F.when(token["closing"], empty(FRAGMENT)).otherwise(let(inside, told))
 
-    return F.when(well_formed(text), F.aggregate(tokens, zero, step, lambda acc: acc["out"]))
+    return F.when(well_formed(text), fold_blocks(F.transform(tokens, parsed), zero, step, FRAGMENT))
 
 
 # --- Markdown and transcripts ------------------------------------------------------------------
@@ -380,8 +545,9 @@ def _is_rule(cells: Column) -> Column:
     return (F.size(used) >= 2) & F.forall(used, lambda c: c.rlike(r"\A:*-{3,}:*\z"))
 
 
-def with_markdown(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add `fragments`: pipe tables as `header: value` cells, other non-empty lines as they are."""
+def with_markdown(documents: DataFrame, text: str = "text", fragments: str = "fragments", indents: str | None = None) -> DataFrame:
+    """Add `fragments`: pipe tables as `header: value` cells, other non-empty lines as they are. `indents` adds an array with
+    the white space that was taken off the front of each line."""
     kept = documents.columns
     rows = documents.withColumn("_rows", lines(searchable(F.col(text))))
     parsed = F.transform("_rows", lambda r: F.struct(r["line"].alias("line"), r["line_number"].alias("number"), pipe_cells(r["line"]).alias("cells")))
@@ -393,10 +559,16 @@ def with_markdown(documents: DataFrame, text: str = "text") -> DataFrame:
     headed = F.transform("_rows", lambda r, i: F.coalesce(F.get("_rule", i + 1), F.lit(False)) & (F.size(F.filter(r["cells"], lambda c: c != "")) >= 2))
     starts = F.filter(F.transform(headed, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
     rows = rows.withColumn("_starts", starts)
-    first = F.transform(
-        "_rows",
-        lambda r, i: F.get(F.filter("_starts", lambda s: (s <= i) & (F.get("_block", s) == F.get("_block", i))), F.lit(0)),
-    )
+    # The first table start of the line's block, if the line does not stand before it.
+    of_block = F.transform("_starts", lambda s, n: F.when((n == 0) | (F.get("_block", F.get("_starts", n - 1)) != F.get("_block", s)), s))
+    rows = rows.withColumn("_firsts", F.filter(of_block, lambda s: s.isNotNull()))
+    rows = rows.withColumn("_before", preceding(F.col("_firsts"), F.transform("_rows", lambda r, i: i)))
+
+    def head_of(r: Column, i: Column) -> Column:
+        start = F.when(F.get("_before", i) >= 0, F.get("_firsts", F.get("_before", i)))
+        return F.when(F.get("_block", start) == F.get("_block", i), start)
+
+    first = F.transform("_rows", head_of)
     rows = rows.withColumn("_head", first)
     none = F.lit(None).cast("string")
 
@@ -413,7 +585,11 @@ def with_markdown(documents: DataFrame, text: str = "text") -> DataFrame:
         used = F.filter(cells, lambda f: body & (F.length(f["text"]) > f["value_at"]))
         return F.when(head.isNull() | ~F.get("_pipe", i), line).otherwise(used)
 
-    return rows.withColumn("fragments", F.flatten(F.transform("_rows", one))).select(*kept, "fragments")
+    rows = rows.withColumn(fragments, F.flatten(F.transform("_rows", one)))
+    if indents is None:
+        return rows.select(*kept, fragments)
+    taken = F.transform("_rows", lambda r: F.length(r["line"]) - F.length(lstrip(r["line"])))
+    return rows.withColumn(indents, taken).select(*kept, fragments, indents)
 
 
 def clean_transcript(text: Column) -> Column:
@@ -431,8 +607,8 @@ def clean_transcript(text: Column) -> Column:
 
 def extracted(documents: DataFrame, fragments: Column, key: str = "doc_id") -> DataFrame:
     """One row per fragment with its place in the text of its document."""
-    placed = documents.select(key, F.explode(place(fragments)).alias("f"))
-    return placed.select(key, "f.*")
+    held = documents.select(key, F.explode(F.array(fragments)).alias("_fragments"))
+    return held.select(key, F.inline(place(F.col("_fragments"))))
 
 
 def with_outcome(documents: DataFrame, text: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import SPACE, java_regex, let, short_hash, strip
+from ..functions.text import SPACE, cutter, empty, java_regex, let, preceding, running_max, running_starts, searchable, short_hash, strip
 from .anchors import anchor_id, marker_of
 from .detect import hold
 
@@ -51,26 +51,33 @@ def scrub_plain(text: Column) -> Column:
     return scrub_labels(scrub_numbers(text))
 
 
-def context_bounds(text: Column, start: Column, end: Column) -> Column:
-    """struct<first,last>: some text on both sides of a span, inside its line."""
-    prefix = F.substring(text, F.lit(1), start)
-    line_start = start - F.length(F.substring_index(prefix, "\n", -1))
-    feed = F.call_function("locate", F.lit("\n"), text, end + 1)
-    line_end = F.when(feed > 0, feed - 1).otherwise(F.length(text))
+def _bounds(low: Column, high: Column, start: Column, end: Column) -> Column:
+    """struct<first,last>: some text on both sides of a span, inside its line from `low` to `high`."""
+    first = F.greatest(low, start - MARGIN)
+    last = F.least(high, end + MARGIN)
+    middle = F.floor((start + end) / 2).cast("int")
+    from_middle = F.greatest(low, middle - MAX_CONTEXT // 2)
+    last_of_middle = F.least(high, from_middle + MAX_CONTEXT)
+    narrow = F.struct(F.greatest(low, last_of_middle - MAX_CONTEXT).alias("first"), last_of_middle.alias("last"))
+    wide = F.struct(first.alias("first"), last.alias("last"))
+    return F.when(last - first > MAX_CONTEXT, narrow).otherwise(wide)
 
-    def build(b: Column) -> Column:
-        first = F.greatest(b["low"], start - MARGIN)
-        last = F.least(b["high"], end + MARGIN)
-        middle = F.floor((start + end) / 2).cast("int")
-        from_middle = F.greatest(b["low"], middle - MAX_CONTEXT // 2)
-        last_of_middle = F.least(b["high"], from_middle + MAX_CONTEXT)
-        narrow = F.struct(
-            F.greatest(b["low"], last_of_middle - MAX_CONTEXT).alias("first"), last_of_middle.alias("last")
-        )
-        wide = F.struct(first.alias("first"), last.alias("last"))
-        return F.when(last - first > MAX_CONTEXT, narrow).otherwise(wide)
 
-    return let(F.struct(line_start.alias("low"), line_end.alias("high")), build)
+def context_bounds(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per span to mask with the bounds of its context; no text is masked."""
+    text = F.col("text")
+    feeds = running_starts(F.transform(F.split(searchable(text), "\n", -1), lambda p: F.length(p) + 1))
+    spans = hold(hold(documents.select(key, "text", "signals"), "_spans", signal_spans(text, F.col("signals"))), "_lines", feeds)
+    starts, ends = (F.transform("_spans", lambda s: s[f]) for f in ("start", "end"))
+    found = hold(hold(spans, "_at", preceding(F.col("_lines"), starts)), "_until", preceding(F.col("_lines"), ends))
+
+    def one(s: Column, i: Column) -> Column:
+        high = F.coalesce(F.get("_lines", F.get("_until", i) + 1) - 1, F.length(text))
+        return F.struct(s["anchor_id"].alias("anchor_id"), _bounds(F.get("_lines", F.get("_at", i)), high, s["start"], s["end"]).alias("b"))
+
+    return found.select(key, F.inline(F.transform("_spans", one))).select(
+        key, "anchor_id", F.col("b.first").alias("context_start"), F.col("b.last").alias("context_end")
+    )
 
 
 def signal_spans(text: Column, signals: Column) -> Column:
@@ -121,41 +128,115 @@ def _masked(text: Column, first: Column, last: Column, spans: Column, target: Co
     )
 
 
+WINDOW = "struct<anchor_id:string,marker:string,first:int,last:int,text:string,mark_start:int,mark_end:int>"
+
+
+def windows_of(text: Column, signals: Column) -> Column:
+    """Around every span to mask its bounds, its masked context and the marker's place there: one array of WINDOW.
+
+    Lines and spans near a signal are found by merging positions inside the row, and contexts are cut from stretches of the
+    text, so time follows the text and its signals, not their product.
+    """
+
+    def merged(spans: Column) -> Column:
+        starts, ends = (F.transform(spans, lambda s: s[f]) for f in ("start", "end"))
+        feeds = running_starts(F.transform(F.split(searchable(text), "\n", -1), lambda p: F.length(p) + 1))
+
+        def bounded(lines: Column) -> Column:
+            def one(at: Column, until: Column) -> Column:
+                def bounds(s: Column, i: Column) -> Column:
+                    following = F.get(lines, F.get(until, i) + 1)
+                    low, high = F.get(lines, F.get(at, i)), F.coalesce(following - 1, F.length(text))
+                    return _bounds(low, high, s["start"], s["end"])
+
+                return F.transform(spans, bounds)
+
+            return let(preceding(lines, starts), lambda at: let(preceding(lines, ends), lambda until: one(at, until)))
+
+        def shown(bounds: Column) -> Column:
+            reach = running_max(ends, F.lit(0))  # of the spans before each: ascending
+
+            def near(low: Column, high: Column) -> Column:
+                def window(s: Column, i: Column, cut) -> Column:
+                    b = F.get(bounds, i)
+                    # Spans before the first whose reach goes beyond the window's start end before it.
+                    from_span = F.greatest(F.get(low, i), F.lit(0))
+                    some = F.slice(spans, from_span + 1, F.greatest(F.get(high, i) - from_span + 1, F.lit(0)))
+                    some = F.filter(some, lambda x: (x["start"] < b["last"]) & (b["first"] < x["end"]))
+                    moved = F.transform(some, lambda x: x.withField("start", x["start"] - b["first"]).withField("end", x["end"] - b["first"]))
+                    own = F.struct(cut(b["first"], b["last"]).alias("context"), moved.alias("near"), b.alias("b"))
+
+                    def masked(o: Column) -> Column:
+                        m = _masked(o["context"], F.lit(0), o["b"]["last"] - o["b"]["first"], o["near"], s["anchor_id"], scrub_plain)
+                        return let(m, lambda x: F.struct(
+                            s["anchor_id"].alias("anchor_id"), s["marker"].alias("marker"), o["b"]["first"].alias("first"), o["b"]["last"].alias("last"),
+                            x["text"].alias("text"), x["mark_start"].alias("mark_start"), x["mark_end"].alias("mark_end")))
+
+                    return let(own, masked)
+
+                return cutter(text, lambda cut: F.transform(spans, lambda s, i: window(s, i, cut)))
+
+            firsts = F.transform(bounds, lambda b: b["first"])
+            lasts = F.transform(bounds, lambda b: b["last"] - 1)
+            return let(let(reach, lambda r: preceding(r, firsts)), lambda low: let(preceding(starts, lasts), lambda high: near(low, high)))
+
+        return let(let(feeds, bounded), shown)
+
+    return let(signal_spans(text, signals), lambda spans: F.when(F.size(spans) == 0, empty(WINDOW)).otherwise(merged(spans)))
+
+
 def context_windows(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per signal: bounds, redacted context and highlight. Needs `text` and `signals`."""
-    text = F.col("text")
-    spans = hold(documents.select(key, "text", "signals"), "_spans", signal_spans(text, F.col("signals")))
-    targets = spans.select(key, "text", "_spans", F.posexplode("_spans").alias("place", "t"))
-    bounded = hold(targets, "b", context_bounds(text, F.col("t.start"), F.col("t.end")))
-    first, last = F.col("b.first"), F.col("b.last")
-    near = F.filter("_spans", lambda s: (s["start"] < last) & (first < s["end"]))
-    masked = hold(bounded, "m", _masked(text, first, last, near, F.col("t.anchor_id"), scrub_plain))
-    shown = strip(F.col("m.text"))
-    at = F.call_function("locate", F.col("t.marker"), shown)
-    missed = F.col("m.mark_end") == 0
-    return masked.select(
+    found = hold(documents.select(key, "text", "signals"), "_windows", windows_of(F.col("text"), F.col("signals")))
+    rows = found.select(key, F.inline("_windows"))
+    shown = hold(rows, "shown", strip(F.col("text")))
+    at = F.call_function("locate", F.col("marker"), F.col("shown"))
+    missed = F.col("mark_end") == 0
+    return shown.select(
         key,
-        F.col("t.anchor_id").alias("anchor_id"),
-        first.alias("context_start"),
-        last.alias("context_end"),
-        shown.alias("redacted_context"),
-        F.when(missed, F.greatest(at - 1, F.lit(0))).otherwise(F.col("m.mark_start")).alias("highlight_start"),
-        F.when(missed & (at > 0), at - 1 + F.length("t.marker"))
-        .when(missed, 0).otherwise(F.col("m.mark_end")).alias("highlight_end"),
+        "anchor_id",
+        F.col("first").alias("context_start"),
+        F.col("last").alias("context_end"),
+        F.col("shown").alias("redacted_context"),
+        F.when(missed, F.greatest(at - 1, F.lit(0))).otherwise(F.col("mark_start")).alias("highlight_start"),
+        F.when(missed & (at > 0), at - 1 + F.length("marker"))
+        .when(missed, 0).otherwise(F.col("mark_end")).alias("highlight_end"),
     ).filter(F.col("redacted_context") != "")
 
 
-def masked_documents(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Whole texts with every signal span masked and the rest scrubbed line by line."""
-    text = F.col("text")
+def masked_text(text: Column, signals: Column) -> Column:
+    """A whole text with every signal span masked and the rest scrubbed line by line.
+
+    What stands before a span begins where the spans before it reach to, a running maximum; the kept stretches and the markers
+    are pieces that are joined once.
+    """
 
     def scrub(gap: Column) -> Column:
         return F.array_join(F.transform(F.split(gap, "\n", -1), scrub_plain), "\n")
 
-    masked = _masked(
-        text, F.lit(0), F.length(text), signal_spans(text, F.col("signals")), F.lit(None).cast("string"), scrub
-    )
-    return documents.select(key, masked["text"].alias("masked_text"))
+    def joined(spans: Column, reach: Column) -> Column:
+        def pieces(cut) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                before = F.get(reach, i)
+                gap = F.when(before < s["start"], scrub(cut(before, s["start"]))).otherwise("")
+                return F.when(s["end"] <= before, "").otherwise(F.concat(gap, s["marker"]))
+
+            last = F.greatest(F.get(reach, F.size(spans) - 1), F.get(spans, F.size(spans) - 1)["end"])
+            tail = F.when(last < F.length(text), scrub(cut(last, F.length(text)))).otherwise("")
+            return F.array_join(F.concat(F.transform(spans, piece), F.array(tail)), "")
+
+        return cutter(text, pieces)
+
+    def masked(spans: Column) -> Column:
+        reach = running_max(F.transform(spans, lambda s: s["end"]), F.lit(0))
+        return F.when(F.size(spans) == 0, scrub(text)).otherwise(let(reach, lambda r: joined(spans, r)))
+
+    return let(signal_spans(text, signals), masked)
+
+
+def masked_documents(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Whole texts with every signal span masked and the rest scrubbed line by line."""
+    return documents.select(key, masked_text(F.col("text"), F.col("signals")).alias("masked_text"))
 
 
 def preview_packages(windows: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:

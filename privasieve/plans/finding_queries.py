@@ -505,7 +505,7 @@ def _windows(spark, directory):
 @query("red_context_bounds", "doc_id bigint, anchor_id varchar, context_start int, context_end int",
        "SELECT doc_id, anchor_id, cf AS context_start, cl AS context_end FROM bnd", BOUNDS)
 def context_bounds(spark, directory):
-    return _windows(spark, directory)
+    return redact.context_bounds(detect.with_signals(corpus(spark, directory)))
 
 
 _PIECES = """pieces AS (

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators.inventory import classify, decode_text, size_gate, suffix_of
 
+# Content types of text files by suffix.
+TEXT_TYPES = {
+    ".txt": "text/plain", ".log": "text/plain", ".csv": "text/csv", ".tsv": "text/tab-separated-values", ".json": "application/json", ".ndjson": "application/x-ndjson",
+    ".xml": "application/xml", ".html": "text/html", ".htm": "text/html", ".md": "text/markdown", ".vtt": "text/vtt", ".srt": "application/x-subrip",
+}
+
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Files below a folder without their content."""
@@ -19,16 +25,24 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def media_type_of(name):
+    """The content type that a file's suffix stands for, where its content is text; empty for files without a suffix."""
+    suffix = suffix_of(name)
+    return F.when(suffix == "", "").otherwise(
+        F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TEXT_TYPES.items() for x in pair]), suffix), F.lit("application/octet-stream"))
+    )
+
+
 def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Text files below a folder, decoded. Files above their size limit are named in `rejected` and keep their text."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
         .withColumnRenamed("length", "size_bytes").withColumn("name", F.element_at(F.split("path", "/"), -1))
     )
-    gated = size_gate(files)
+    gated = size_gate(files).withColumn("content_type", media_type_of(F.col("name")))
     return gated.select(
-        "path", "name", "size_bytes", suffix_of(F.col("name")).alias("suffix"), "rejected",
-        classify(F.col("name"), F.lit("")).alias("format"), decode_text(F.col("content"), F.lit("")).alias("text"),
+        "path", "name", "content_type", "size_bytes", suffix_of(F.col("name")).alias("suffix"), "rejected",
+        classify(F.col("name"), F.col("content_type")).alias("format"), decode_text(F.col("content"), F.col("content_type")).alias("text"),
     )
 
 
