@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import display_type, empty, let, preceding, running_starts, searchable, short_hash
-from .detect import line_number_at
+from ..functions.text import display_type, empty, let, lines, preceding, running_starts, searchable, short_hash
 
 SOURCE_REFERENCE = "source_reference:"
 _MARKER = r"\[REDACTED_[A-Z0-9_]+\]"
@@ -37,13 +36,41 @@ def text_position_anchors(signals: DataFrame) -> DataFrame:
     )
 
 
+def all_line_starts(text: Column) -> Column:
+    """Offsets of the lines of a text by line feeds; a feed at the end begins an empty last line."""
+    return running_starts(F.transform(F.split(searchable(text), "\n", -1), lambda p: F.length(p) + 1))
+
+
 def signal_line_numbers(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Line number of each signal from the line feeds before it, counted in the document row."""
-    s = F.col("s")
-    return documents.select(key, "text", F.explode("signals").alias("s")).select(
-        key, s["start"].alias("start"), s["type"].alias("type"),
-        line_number_at(F.col("text"), s["start"]).alias("line_at"),
+    """Line number of each signal from the line feeds before it, merged in the document row; no text leaves it."""
+    before = preceding(all_line_starts(F.col("text")), F.transform("signals", lambda s: s["start"]))
+    held = documents.select(key, "signals", F.explode(F.array(before)).alias("before"))
+    rows = F.transform("signals", lambda s, i: F.struct(s["start"].alias("start"), s["type"].alias("type"), (F.get("before", i) + 1).alias("line_at")))
+    return held.select(key, F.inline(rows))
+
+
+def signal_line_columns(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Line and column of each signal, merged with the line starts in the document row."""
+    held = documents.select(key, "signals", F.explode(F.array(line_starts(F.col("text")))).alias("starts"))
+    held = held.select("*", F.explode(F.array(preceding(F.col("starts"), F.transform("signals", lambda s: s["start"])))).alias("at"))
+    column = lambda s, i: F.greatest(s["start"] - F.get("starts", F.get("at", i)) + 1, F.lit(1))
+    rows = F.transform("signals", lambda s, i: F.struct((i + 1).alias("seq"), (F.get("at", i) + 1).alias("line"), column(s, i).alias("column")))
+    return held.select(key, F.inline(rows))
+
+
+def located_in_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The line that holds each signal and where in it the signal lies: `located_signals` over the lines of a text."""
+    places = F.transform(
+        lines(searchable(F.col("text"))),
+        lambda x: F.struct(
+            x["start"].alias("start"), (x["start"] + F.length(x["line"])).alias("end"), x["line_number"].cast("string").alias("path"),
+            F.concat(F.lit("Line "), x["line_number"]).alias("label"),
+        ),
     )
+    held = documents.select(key, "signals", F.explode(F.array(places)).alias("places"))
+    none = F.array().cast("array<int>")
+    found = located_signals(F.col("signals"), F.col("places"), F.transform("places", lambda p: p["start"]), F.lit("text"), F.lit("textPosition"), F.lit(False), none)
+    return held.select(key, F.inline(found)).withColumn("loc_ordinal", F.col("path").cast("int"))
 
 
 BUCKET_CHARS = 4096
@@ -157,16 +184,14 @@ def safe_label(label: Column) -> Column:
 
 
 def public_evidence(signals: DataFrame, key: str = "doc_id", top: int = 5) -> DataFrame:
-    """All signals of each document as they may be shown; those after the first `top` are `beyond_top`."""
-    order = Window.partitionBy(key).orderBy("seq")
-    return (
-        signals.withColumn("place", F.row_number().over(order))
-        .select(
-            key, "seq", "type", "detector", F.round("confidence", 2).alias("confidence"),
-            public_snippet(F.col("type"), F.col("snippet")).alias("snippet"),
-            safe_label(F.concat(F.lit("Line "), F.col("line_number"))).alias("location_label"),
-            (F.col("place") > top).alias("beyond_top"),
-        )
+    """All signals of each document as they may be shown; those after the first `top` are `beyond_top`. `seq` counts the signals
+    of a document from 1, so it is their rank. A located signal is shown with the label of its place."""
+    place = F.concat(F.lit("Line "), F.col("line_number")) if "line_number" in signals.columns else F.col("label")
+    return signals.select(
+        key, "seq", "type", "detector", F.round("confidence", 2).alias("confidence"),
+        public_snippet(F.col("type"), F.col("snippet")).alias("snippet"),
+        safe_label(F.coalesce(place, F.lit(""))).alias("location_label"),
+        (F.col("seq") > top).alias("beyond_top"),
     )
 
 

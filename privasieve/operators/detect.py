@@ -296,33 +296,30 @@ def raw_spans(documents: DataFrame, regex: str, key: str = "doc_id") -> DataFram
 
 
 def phone_checks(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every phone-like match with the three tests it has to pass."""
-    found = documents.select(key, searchable(F.col("text")).alias("_text"))
-    m = F.col("m")
-    return found.select(
-        key, "_text", F.explode(phone_candidates(F.col("_text"), only_possible=False)).alias("m")
-    ).select(
-        key,
-        m["start"].alias("start"),
-        m["end"].alias("end"),
-        valid_phone(m["value"]).alias("valid"),
-        m["run_ok"].alias("run_ok"),
-        phone_context_ok(F.col("_text"), m["start"], m["end"], m["value"]).alias("context_ok"),
-    )
+    """Every phone-like match with the three tests it has to pass, told inside the document's row."""
+    found = hold(documents.select(key, searchable(F.col("text")).alias("_text")), "_found", phone_candidates(F.col("_text"), only_possible=False))
+
+    def tested(m: Column) -> Column:
+        return F.struct(
+            m["start"].alias("start"),
+            m["end"].alias("end"),
+            valid_phone(m["value"]).alias("valid"),
+            m["run_ok"].alias("run_ok"),
+            phone_context_ok(F.col("_text"), m["start"], m["end"], m["value"]).alias("context_ok"),
+        )
+
+    return hold(found, "_tested", F.transform("_found", tested)).select(key, F.inline("_tested"))
 
 
 def amount_checks(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every amount with the test for a personal word near it."""
-    found = documents.select(key, searchable(F.col("text")).alias("_text"))
-    m = F.col("m")
-    return found.select(
-        key, "_text", F.explode(pattern_spans(F.col("_text"), "amount")).alias("m")
-    ).select(
-        key,
-        m["start"].alias("start"),
-        m["end"].alias("end"),
-        amount_context_ok(F.col("_text"), m["start"], m["end"]).alias("context_ok"),
-    )
+    """Every amount with the test for a personal word near it, told inside the document's row."""
+    found = hold(documents.select(key, searchable(F.col("text")).alias("_text")), "_found", pattern_spans(F.col("_text"), "amount"))
+
+    def tested(m: Column) -> Column:
+        context = amount_context_ok(F.col("_text"), m["start"], m["end"])
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), context.alias("context_ok"))
+
+    return hold(found, "_tested", F.transform("_found", tested)).select(key, F.inline("_tested"))
 
 
 def scan_window(documents: DataFrame, limits: Limits, key: str = "doc_id") -> DataFrame:

@@ -406,17 +406,13 @@ def line_number(spark, directory):
     return positions(anchors.signal_line_numbers(detect.with_signals(corpus(spark, directory))))
 
 
-def _locations(spark, directory):
-    return anchors.text_lines_as_locations(detect.document_lines(corpus(spark, directory)))
-
-
 @query(
     "anc_locate", "doc_id bigint, seq int, loc_ordinal int, source_start int, source_end int",
     "SELECT sig.doc_id, seq, ln.line_number AS loc_ordinal, s - line_start AS source_start, e - line_start AS source_end FROM sig LEFT JOIN ln "
     "ON ln.doc_id = sig.doc_id AND line_start <= s AND e <= line_start + length(line)", SIGNALS,
 )
 def locate(spark, directory):
-    return anchors.locate(signals(spark, directory), _locations(spark, directory))
+    return anchors.located_in_lines(detect.with_signals(corpus(spark, directory)))
 
 
 @query(
@@ -424,10 +420,7 @@ def locate(spark, directory):
     "SELECT sig.doc_id, seq, ln.line_number AS line, s - line_start + 1 AS column_number FROM sig JOIN ln ON ln.doc_id = sig.doc_id AND s >= line_start AND s <= line_start + length(line)", SIGNALS,
 )
 def line_column(spark, directory):
-    starts = corpus(spark, directory).select("doc_id", anchors.line_starts(F.col("text")).alias("line_starts"))
-    joined = signals(spark, directory).join(starts, "doc_id")
-    found = anchors.line_column(F.col("line_starts"), F.col("start"), F.lit(1), F.lit(1))
-    return joined.select("doc_id", "seq", found.alias("at")).select("doc_id", "seq", F.col("at.line").alias("line"), F.col("at.column").alias("column_number"))
+    return anchors.signal_line_columns(detect.with_signals(corpus(spark, directory))).withColumnRenamed("column", "column_number")
 
 
 _REGION_SQL = (
