@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import SPACE, let
 
@@ -141,6 +143,40 @@ def decode_text(content: Column, content_type: Column) -> Column:
     )
 
 
+# Charsets that decode_text reads itself.
+OWN_CHARSETS = (
+    "", "utf8", "utf-8", "utf_8", "utf16le", "utf-16le", "utf_16_le", "utf-16-le", "utf16be", "utf-16be", "utf_16_be", "utf-16-be",
+    "iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii",
+)
+
+
+def declared_charset(content_type: Column) -> Column:
+    return F.lower(F.regexp_extract(content_type, r"(?i);\s*charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", 1))
+
+
+def with_decoded_text(files: DataFrame, content: str = "content", content_type: str = "content_type", text: str = "text") -> DataFrame:
+    """Add the text of raw bytes, in whatever charset the content type declares.
+
+    Charsets that Spark does not know are decoded in Arrow batches; the bytes of all other files stay in the JVM. Bytes that
+    the declared charset does not fit, and unknown charsets, are read as by `decode_text`.
+    """
+
+    def decode(contents: pa.Array, charsets: pa.Array) -> pa.Array:
+        out = []
+        for raw, charset in zip(contents.to_pylist(), charsets.to_pylist()):
+            try:
+                out.append(None if raw is None else raw.decode(charset))
+            except (LookupError, UnicodeError):
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    charset = declared_charset(F.coalesce(F.col(content_type), F.lit("")))
+    other = ~charset.isin(*OWN_CHARSETS)
+    foreign = F.arrow_udf(decode, StringType())(F.when(other, F.col(content)), F.when(other, charset))
+    own = decode_text(F.col(content), F.coalesce(F.col(content_type), F.lit("")))
+    return files.withColumn("_foreign", foreign).withColumn(text, F.coalesce("_foreign", own)).drop("_foreign")
+
+
 def looks_like_text(text: Column) -> Column:
     """A file without a suffix counts as text: few replacement marks, few control characters, a letter or digit."""
     chars = F.greatest(F.length(text), F.lit(1))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import searchable, short_hash
 from ..operators import anchors, delta, detect, findings, redact, summaries
+from ..sources.files import shared_folder
 from ..sources.tables import corpus, spread, table
+from . import chain
 from .detection_queries import signals
 from .oracle_base import CORPUS, LINES, SIGNALS, quote, values
 from .registry import positions, query
@@ -700,3 +705,74 @@ def baseline_pick(spark, directory):
     baselines = orders.select(F.col("o_custkey").alias("source_id"), F.concat(F.lit("scan_"), "o_orderkey").alias("scan_id"), F.col("o_orderdate").alias("created_at"))
     requests = orders.groupBy("o_custkey").agg(F.expr(_REQUEST).alias("requested_scan_id")).withColumnRenamed("o_custkey", "source_id")
     return delta.pick_baseline(baselines, requests)
+
+
+# --- chained scans over a stored baseline ------------------------------------------------------
+
+
+def _chained(spark, directory):
+    """Two scans of the documents, as they were before and as they are now; gives the store and the second comparison."""
+    store = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
+    sides = [side.withColumnRenamed("source", "source_id").select("source_id", "path", "text", "size_bytes") for side in _sides(spark, directory)]
+    chain.scan(spark, store, sides[0], "scan_1", datetime(2024, 1, 1))
+    return store, chain.scan(spark, store, sides[1], "scan_2", datetime(2024, 1, 2))
+
+
+_CHAIN = f"""{SIGNALS}, {DELTA},
+chained AS (SELECT coalesce(c.source, b.source) AS source_id, m.file_key, m.change, c.doc_id, b.doc_id AS old_id FROM cmp m
+  LEFT JOIN (SELECT cur.*, source FROM cur JOIN documents USING (doc_id)) c ON c.file_key = m.file_key
+  LEFT JOIN (SELECT base.*, source FROM base JOIN documents USING (doc_id)) b ON b.file_key = m.file_key),
+hit AS (SELECT DISTINCT doc_id FROM sig)"""
+
+
+@query(
+    "dlt_chained_scan", "source_id varchar, file_key varchar, change varchar, scanned boolean, has_finding boolean",
+    "SELECT source_id, file_key, change, change IN ('new', 'modified') AS scanned, CASE WHEN change <> 'missing' THEN doc_id IN (SELECT doc_id FROM hit) END AS has_finding FROM chained", _CHAIN,
+)
+def chained_scan(spark, directory):
+    return _chained(spark, directory)[1]
+
+
+@query(
+    "dlt_chained_summary", "source_id varchar, baseline_scan_id varchar, total_files bigint, files_with_findings bigint, changed_files bigint, new_files bigint, modified_files bigint, unchanged_files bigint, "
+    "missing_files bigint, carried_files bigint, warnings varchar, missing_treated_as_deleted boolean",
+    "SELECT *, concat_ws('|', CASE WHEN unchanged_files > 0 THEN concat(unchanged_files, ' unchanged files were carried forward') END, "
+    "CASE WHEN missing_files > 0 THEN concat(missing_files, ' baseline files are missing from the source; nothing was deleted') END) AS warnings, false AS missing_treated_as_deleted FROM ("
+    "SELECT source_id, 'scan_1' AS baseline_scan_id, count(*) FILTER (change <> 'missing') AS total_files, count(*) FILTER (change <> 'missing' AND doc_id IN (SELECT doc_id FROM hit)) AS files_with_findings, "
+    "count(*) FILTER (change IN ('new', 'modified')) AS changed_files, count(*) FILTER (change = 'new') AS new_files, count(*) FILTER (change = 'modified') AS modified_files, "
+    "count(*) FILTER (change = 'unchanged') AS unchanged_files, count(*) FILTER (change = 'missing') AS missing_files, count(*) FILTER (change = 'unchanged' AND doc_id IN (SELECT doc_id FROM hit)) AS carried_files "
+    "FROM chained GROUP BY source_id) x", _CHAIN,
+)
+def chained_summary(spark, directory):
+    store, _ = _chained(spark, directory)
+    return chain.summaries(spark, store, "scan_2").withColumn("warnings", F.array_join("warnings", "|"))
+
+
+@query(
+    "red_leak_check_texts", "pattern int, leaking_rows bigint",
+    "SELECT pattern, CASE pattern WHEN 0 THEN 1 ELSE 0 END AS leaking_rows FROM range(0, " + str(len(redact.LEAK_PATTERNS)) + ") t(pattern)",
+)
+def leak_check_texts(spark, directory):
+    """Redacted contexts of all signals, with one planted leak that has to be found."""
+    shown = _windows(spark, directory).select("doc_id", "anchor_id", "redacted_context")
+    planted = table(spark, directory, "documents").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit("planted").alias("anchor_id"), F.lit("left: a@b.org").alias("redacted_context"))
+    return redact.leaks(shown.unionByName(planted)).withColumnRenamed("rows", "leaking_rows")
+
+
+_OWN = (
+    "own AS (SELECT s.doc_id, s.seq, s.n, length(s.gap) AS g FROM shown s JOIN pieces p USING (doc_id, seq, n) WHERE p.other = p.anchor_id), "
+    "pre AS (SELECT o.doc_id, o.seq, o.g + coalesce(sum(length(s.gap) + length(s.marker)), 0) AS at FROM own o LEFT JOIN shown s ON s.doc_id = o.doc_id AND s.seq = o.seq AND s.n < o.n GROUP BY o.doc_id, o.seq, o.g), "
+    "lit AS (SELECT m.doc_id, m.anchor_id, pre.at, regexp_extract(b.snippet, '\\[REDACTED_[A-Z0-9_]+\\]') AS marker, trim(m.body || " + sql_scrub_labels(sql_scrub_numbers("substring(t.text, t.last + 1, t.cl - t.last)")) + ") AS context "
+    "FROM masked m JOIN tails t USING (doc_id, seq) JOIN bnd b USING (doc_id, seq) LEFT JOIN pre USING (doc_id, seq))"
+)
+
+
+@query(
+    "red_context_highlight", "doc_id bigint, anchor_id varchar, highlight_start int, highlight_end int",
+    "SELECT doc_id, anchor_id, CASE WHEN at IS NOT NULL THEN at ELSE greatest(instr(context, marker) - 1, 0) END AS highlight_start, "
+    "CASE WHEN at IS NOT NULL THEN at + length(marker) WHEN instr(context, marker) > 0 THEN instr(context, marker) - 1 + length(marker) ELSE 0 END AS highlight_end FROM lit",
+    f"{BOUNDS}, {_PIECES}, {_OWN}",
+)
+def context_highlight(spark, directory):
+    """Where the signal's own marker stands in its context; where it lies inside an earlier signal, the first marker of its kind."""
+    return _windows(spark, directory)

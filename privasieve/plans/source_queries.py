@@ -91,6 +91,19 @@ def decode_text(spark, directory):
     return docs.select("doc_id", short_hash(inventory.decode_text(F.col("content"), F.col("content_type")), 16).alias("text_hash"))
 
 
+@query("src_decode_charsets", "doc_id bigint, text_hash varchar", "SELECT doc_id, substring(sha256(text), 1, 16) AS text_hash FROM documents")
+def decode_charsets(spark, directory):
+    """Each text as bytes of a charset that holds it, declared as such: an old Western code page, UTF-32 under a name that only
+    the batch decoder knows, or UTF-8 under a name that nobody knows."""
+    docs = table(spark, directory, "documents")
+    text = F.col("text")
+    western = text.rlike(r"\A[\x00-\x7F\xA0-\xFF]*\z") & (F.col("doc_id") % 3 == 0)
+    content = F.when(western, F.encode(F.when(western, text), "ISO-8859-1")).when(F.col("doc_id") % 3 == 1, F.encode(text, "UTF-32")).otherwise(F.encode(text, "UTF-8"))
+    declared = F.when(western, "text/plain; charset=Windows-1252").when(F.col("doc_id") % 3 == 1, 'text/plain; charset="utf-32-be"').otherwise("text/plain; charset=x-nobody")
+    files = docs.select("doc_id", content.alias("content"), declared.alias("content_type"))
+    return inventory.with_decoded_text(files).select("doc_id", short_hash(F.col("text"), 16).alias("text_hash"))
+
+
 _SNIFF_TEXT = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(repeat(chr(1), CAST(1 + n_chars / 40 AS INT)), text) WHEN 2 THEN concat(repeat(chr(65533), CAST(1 + n_chars / 40 AS INT)), text) ELSE ' ... ' END"
 
 

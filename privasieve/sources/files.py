@@ -40,6 +40,7 @@ def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
         .withColumnRenamed("length", "size_bytes").withColumn("name", F.element_at(F.split("path", "/"), -1))
     )
     gated = size_gate(files).withColumn("content_type", media_type_of(F.col("name")))
+    # A tree of files declares no charset, so all bytes are decoded in the JVM; see with_decoded_text for other sources.
     return gated.select(
         "path", "name", "content_type", "size_bytes", suffix_of(F.col("name")).alias("suffix"), "rejected",
         classify(F.col("name"), F.col("content_type")).alias("format"), decode_text(F.col("content"), F.col("content_type")).alias("text"),
