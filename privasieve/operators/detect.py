@@ -280,6 +280,12 @@ def rule_matches(documents: DataFrame, names: list[str], key: str = "doc_id") ->
     )
 
 
+def flagged_signals(documents: DataFrame, limits: Limits = BOUNDED, key: str = "doc_id") -> DataFrame:
+    """All signals of whole texts; `beyond_cap` and `beyond_window` mark those that a bounded scan would not show."""
+    found = detect_signals(documents, key)
+    return found.withColumns({"beyond_cap": F.col("seq") > limits.signals, "beyond_window": F.col("end") > limits.scan_chars})
+
+
 def raw_spans(documents: DataFrame, regex: str, key: str = "doc_id") -> DataFrame:
     """Every match of any pattern with its position."""
     return (

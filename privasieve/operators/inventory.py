@@ -109,6 +109,14 @@ def file_cap(files: DataFrame, cap: int = SOURCE_FILES, salts: int = 64) -> Data
     return some.drop("n", "salt").withColumn("n", F.row_number().over(last)).filter(F.col("n") <= cap)
 
 
+def with_over_cap(files: DataFrame, cap: int = SOURCE_FILES) -> DataFrame:
+    """All files; those after the first `cap` of their source by path are `over_cap`. Only the last path within the cap is
+    worked out for each source, so no source is ranked as a whole."""
+    last = file_cap(files.select("source_id", "path"), cap).groupBy("source_id").agg(F.max("path").alias("_last"), F.count("*").alias("_n"))
+    joined = files.join(last, "source_id", "left")
+    return joined.withColumn("over_cap", (F.col("_n") >= cap) & (F.col("path") > F.col("_last"))).drop("_last", "_n")
+
+
 def decode_text(content: Column, content_type: Column) -> Column:
     """Text of raw bytes: declared charset, byte order mark, UTF-8, UTF-16 by its zero bytes.
 

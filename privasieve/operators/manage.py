@@ -99,13 +99,25 @@ def tier_cost(candidates: DataFrame, prompt_price: Decimal, completion_price: De
         "cost", ((F.col("prompt_tokens").cast("decimal(10,0)") * price) + fixed).cast("decimal(18,10)"))
 
 
-def tier_budget(costs: DataFrame, budget: Decimal, key: str = "doc_id", parts: int = 64) -> DataFrame:
+def tier_full_cost(candidates: DataFrame, prompt_price: Decimal, completion_price: Decimal, max_prompt: int, max_completion: int) -> DataFrame:
+    """Prompt tokens of the whole text and the price of sending it whole; `over_prompt` marks texts that one call cannot hold, and
+    `calls` tells how many it takes, each with its own completion."""
+    prompt = tokens(F.col("text"))
+    calls = F.ceil(prompt / F.lit(max_prompt)).cast("long")
+    price = F.lit(prompt_price).cast("decimal(18,10)")
+    fixed = (F.lit(completion_price).cast("decimal(18,10)") * F.lit(max_completion)).cast("decimal(18,10)")
+    cost = (prompt.cast("decimal(10,0)") * price + calls.cast("decimal(10,0)") * fixed).cast("decimal(18,10)")
+    return candidates.withColumns({"prompt_tokens": prompt, "calls": calls, "over_prompt": prompt > max_prompt, "cost": cost})
+
+
+def tier_budget(costs: DataFrame, budget: Decimal, key: str = "doc_id", parts: int | None = None) -> DataFrame:
     """Admit candidates in key order while the running cost fits the budget.
 
     A running sum over everything would put all rows into one task. Keys are cut at their quantiles
     into ranges of about equal size; each range sums itself, and only the range totals, at most
-    `parts` rows, are summed in order.
+    `parts` rows, are summed in order. There are as many ranges as shuffle partitions, 64 at least.
     """
+    parts = parts or max(64, int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = costs.agg(F.percentile_approx(key, shares, 10_000).alias("cuts"))
     ranged = costs.crossJoin(F.broadcast(cuts)).withColumn(

@@ -170,6 +170,15 @@ def newest_first(events: DataFrame, limit: int) -> DataFrame:
     return events.orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(limit)
 
 
+def page_after(events: DataFrame, size: int, last: tuple | None = None) -> DataFrame:
+    """The page of `size` events, newest first, that follows the event `last` (occurred_at, event_id); the first without it. What
+    comes before is left out by a filter, so no page costs more than another."""
+    if last is not None:
+        at, event = F.lit(last[0]), F.lit(last[1])
+        events = events.filter((F.col("occurred_at") < at) | ((F.col("occurred_at") == at) & (F.col("event_id") < event)))
+    return newest_first(events, size)
+
+
 def actor_type(actor_id: Column) -> Column:
     return F.when((actor_id == "system") | actor_id.startswith("svc_"), "system").otherwise("human")
 

@@ -233,3 +233,8 @@ def counts(spark, directory):
        "SELECT type, count(DISTINCT doc_id) AS files FROM sig GROUP BY type", SIGNALS)
 def files(spark, directory):
     return detect.type_files(signals(spark, directory))
+
+
+@query("det_signal_flags", "doc_id bigint, seq int, beyond_cap boolean, beyond_window boolean", "SELECT doc_id, seq, seq > 32 AS beyond_cap, e > 200000 AS beyond_window FROM sig", SIGNALS)
+def signal_flags(spark, directory):
+    return detect.flagged_signals(corpus(spark, directory))

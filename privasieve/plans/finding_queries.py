@@ -761,16 +761,16 @@ def leak_check_texts(spark, directory):
 
 _OWN = (
     "own AS (SELECT s.doc_id, s.seq, s.n, length(s.gap) AS g FROM shown s JOIN pieces p USING (doc_id, seq, n) WHERE p.other = p.anchor_id), "
-    "pre AS (SELECT o.doc_id, o.seq, o.g + coalesce(sum(length(s.gap) + length(s.marker)), 0) AS at FROM own o LEFT JOIN shown s ON s.doc_id = o.doc_id AND s.seq = o.seq AND s.n < o.n GROUP BY o.doc_id, o.seq, o.g), "
-    "lit AS (SELECT m.doc_id, m.anchor_id, pre.at, regexp_extract(b.snippet, '\\[REDACTED_[A-Z0-9_]+\\]') AS marker, trim(m.body || " + sql_scrub_labels(sql_scrub_numbers("substring(t.text, t.last + 1, t.cl - t.last)")) + ") AS context "
+    "pre AS (SELECT o.doc_id, o.seq, o.g + coalesce(sum(length(s.gap) + length(s.marker)), 0) AS s0 FROM own o LEFT JOIN shown s ON s.doc_id = o.doc_id AND s.seq = o.seq AND s.n < o.n GROUP BY o.doc_id, o.seq, o.g), "
+    "lit AS (SELECT m.doc_id, m.anchor_id, pre.s0, regexp_extract(b.snippet, '\\[REDACTED_[A-Z0-9_]+\\]') AS marker, trim(m.body || " + sql_scrub_labels(sql_scrub_numbers("substring(t.text, t.last + 1, t.cl - t.last)")) + ") AS context "
     "FROM masked m JOIN tails t USING (doc_id, seq) JOIN bnd b USING (doc_id, seq) LEFT JOIN pre USING (doc_id, seq))"
 )
 
 
 @query(
     "red_context_highlight", "doc_id bigint, anchor_id varchar, highlight_start int, highlight_end int",
-    "SELECT doc_id, anchor_id, CASE WHEN at IS NOT NULL THEN at ELSE greatest(instr(context, marker) - 1, 0) END AS highlight_start, "
-    "CASE WHEN at IS NOT NULL THEN at + length(marker) WHEN instr(context, marker) > 0 THEN instr(context, marker) - 1 + length(marker) ELSE 0 END AS highlight_end FROM lit",
+    "SELECT doc_id, anchor_id, CASE WHEN s0 IS NOT NULL THEN s0 ELSE greatest(instr(context, marker) - 1, 0) END AS highlight_start, "
+    "CASE WHEN s0 IS NOT NULL THEN s0 + length(marker) WHEN instr(context, marker) > 0 THEN instr(context, marker) - 1 + length(marker) ELSE 0 END AS highlight_end FROM lit",
     f"{BOUNDS}, {_PIECES}, {_OWN}",
 )
 def context_highlight(spark, directory):

@@ -390,6 +390,15 @@ def newest(spark, directory):
     return review.newest_first(_events(spark, directory), 50)
 
 
+@query("aud_third_page", "event_id bigint, occurred_at timestamp", "SELECT event_id, ts AS occurred_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
+def third_page(spark, directory):
+    events, last = _events(spark, directory), None
+    for _ in range(2):
+        row = review.page_after(events, 50, last).orderBy("occurred_at", "event_id").first()
+        last = (row["occurred_at"], row["event_id"])
+    return review.page_after(events, 50, last)
+
+
 @query(
     "aud_recording_summary", "scan_id varchar, recorded bigint, linked_scan bigint, linked_finding bigint, reviews bigint, system_events bigint, human_events bigint, raw_content_exposed boolean, deletion_executed boolean",
     "SELECT scan_id, count(*) AS recorded, count(*) FILTER (object_type = 'scan') AS linked_scan, count(finding_id) AS linked_finding, count(*) FILTER (event_type = 'review_recorded') AS reviews, "
@@ -653,6 +662,16 @@ def tier_cost(spark, directory):
     return _costs(spark, directory).withColumn("micros", (F.col("cost") * 100000000).cast("long"))
 
 
+@query(
+    "tier_full_cost", "doc_id bigint, prompt_tokens bigint, calls bigint, over_prompt boolean, micros bigint",
+    "SELECT doc_id, t AS prompt_tokens, (t + 1999) // 2000 AS calls, t > 2000 AS over_prompt, CAST(CAST(t * 0.00000025 + ((t + 1999) // 2000) * 300 * 0.0000015 AS DECIMAL(18,10)) * 100000000 AS BIGINT) AS micros "
+    "FROM (SELECT doc_id, greatest(1, (length(text) + 3) // 4) AS t FROM documents) c",
+)
+def tier_full_cost(spark, directory):
+    costs = manage.tier_full_cost(_candidates(spark, directory), Decimal("0.00000025"), Decimal("0.0000015"), 2000, 300)
+    return costs.withColumn("micros", (F.col("cost") * 100000000).cast("long"))
+
+
 @query("tier_budget", "doc_id bigint, admitted boolean", f"SELECT doc_id, sum(cost) OVER (ORDER BY doc_id) <= 0.4 AS admitted FROM ({_COST_SQL}) c")
 def tier_budget(spark, directory):
     return manage.tier_budget(_costs(spark, directory).select("doc_id", "cost"), Decimal("0.4"))

@@ -79,6 +79,12 @@ def file_cap(spark, directory):
     return inventory.file_cap(_docs(spark, directory).select("source_id", "path"), cap=20)
 
 
+@query("src_file_cap_flags", "source_id varchar, path varchar, over_cap boolean",
+       f"SELECT source AS source_id, {_PATH_SQL} AS path, row_number() OVER (PARTITION BY source ORDER BY {_PATH_SQL}) > 20 AS over_cap FROM documents")
+def file_cap_flags(spark, directory):
+    return inventory.with_over_cap(_docs(spark, directory).select("source_id", "path"), cap=20)
+
+
 @query("src_decode_text", "doc_id bigint, text_hash varchar", "SELECT doc_id, substring(sha256(text), 1, 16) AS text_hash FROM documents")
 def decode_text(spark, directory):
     text, kind = F.col("text"), F.col("doc_id") % 4
