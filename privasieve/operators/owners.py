@@ -174,13 +174,20 @@ def visible_source_counts(permissions: DataFrame, sources: DataFrame) -> DataFra
     return joined.select("membership_id", F.coalesce(seen, F.lit(0)).alias("visible_sources"))
 
 
-def visible_sources(sources: DataFrame, allowed: list[str], actor_id: str) -> DataFrame:
-    """Sources one actor sees."""
-    if "view_workspace_admin" in allowed:
-        return sources
-    if not {"view_owned_sources", "view_assigned_findings"} & set(allowed):
-        return sources.filter(F.lit(False))
-    return sources.filter(F.col("visible_to") == actor_id)
+def visible_to(rows: DataFrame, actor: DataFrame, owner: str = "visible_to") -> DataFrame:
+    """The rows (with workspace_id and an owner) that one actor sees, as a lazy filter.
+
+    `actor` is one row: workspace_id, account_id, allowed. Without a workspace an actor sees all; in one, admins see all of it,
+    viewers what they own, others nothing. The one row goes to every task, so no row is shuffled.
+    """
+    viewer = F.arrays_overlap("allowed", F.array(F.lit("view_owned_sources"), F.lit("view_assigned_findings")))
+    who = F.broadcast(actor.limit(1).select(
+        F.col("workspace_id").alias("_workspace"), F.col("account_id").alias("_account"),
+        F.array_contains("allowed", "view_workspace_admin").alias("_admin"), viewer.alias("_viewer"),
+    ))
+    inside = F.col("workspace_id") == F.col("_workspace")
+    sees = F.col("_workspace").isNull() | (inside & (F.col("_admin") | (F.col("_viewer") & (F.col(owner) == F.col("_account")))))
+    return rows.join(who, sees).drop("_workspace", "_account", "_admin", "_viewer")
 
 
 def workspace_counts(workspaces: DataFrame, members: DataFrame, invitations: DataFrame) -> DataFrame:

@@ -208,6 +208,30 @@ def sources_visible(spark, directory):
     return owners.visible_source_counts(_permissions(spark, directory), _run(spark, directory, _SEEN_IN, "customer", "nation"))
 
 
+_ACTORS = (("admin", "list_contains(allowed, 'view_workspace_admin')"), ("viewer", "NOT list_contains(allowed, 'view_workspace_admin') AND list_contains(allowed, 'view_owned_sources')"))
+
+
+@query(
+    "prm_source_rows", "actor varchar, source_id varchar",
+    f"SELECT 'outside' AS actor, source_id FROM ({_SEEN_IN}) s UNION ALL "
+    f"SELECT 'admin', source_id FROM ({_SEEN_IN}) s JOIN who ON kind = 'admin' AND s.workspace_id = who.workspace_id UNION ALL "
+    f"SELECT 'viewer', source_id FROM ({_SEEN_IN}) s JOIN who ON kind = 'viewer' AND s.workspace_id = who.workspace_id AND visible_to = account_id",
+    PERMS + ", who AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, * FROM (SELECT workspace_id, account_id FROM perm WHERE {test} ORDER BY membership_id LIMIT 1) {kind}" for kind, test in _ACTORS) + ")",
+)
+def source_rows(spark, directory):
+    """What three actors see: one without a workspace, an admin, and a viewer."""
+    permissions, sources = _permissions(spark, directory), _run(spark, directory, _SEEN_IN, "customer", "nation")
+    admin = F.array_contains("allowed", "view_workspace_admin")
+    columns = ("workspace_id", "account_id", "allowed")
+    actors = {
+        "outside": spark.range(1).select(F.lit(None).cast("string").alias("workspace_id"), F.lit("guest").alias("account_id"), F.array().cast("array<string>").alias("allowed")),
+        "admin": permissions.filter(admin).orderBy("membership_id").select(*columns),
+        "viewer": permissions.filter(~admin & F.array_contains("allowed", "view_owned_sources")).orderBy("membership_id").select(*columns),
+    }
+    seen = [owners.visible_to(sources, actor).select(F.lit(name).alias("actor"), "source_id") for name, actor in actors.items()]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
 _INVITES_IN = (
     "SELECT concat('inv_', event_id) AS invitation_id, concat('NATION_', user_id % 25) AS workspace_id, CASE event_id % 3 WHEN 0 THEN 'accepted' ELSE 'pending' END AS status, "
     "CASE event_id % 10 WHEN 9 THEN 'soon' ELSE CAST(ts AS {text}) END AS expires_at, concat('User_', user_id, '@Example.org') AS email FROM events"
