@@ -1,14 +1,17 @@
 """How far the sources of a language diverge in their terms, by chunk factorization.
 
-A term never crosses white space, so the terms of a text are those of its white-space chunks. Documents are read once, in blocks
-(the rows of a batch): for each language and chunk of a block, the documents that hold it and its occurrences by source
-(`chunk_counts`). Each globally distinct chunk is then cut into terms once (`dictionary`), the terms are joined back to the
-blocks, and the forms of a term ("one", "One,", "(one)") meet again by block, where their documents are united. Sums over blocks
-give the documents of a term in a language and its occurrences in a source (`term_counts`).
+A term never crosses white space, so the terms of a text are those of its white-space chunks.
 
-So what is shuffled is a row for each chunk of a block with a list of small numbers, not a row for each word. Chunks that many
-documents hold are dealt to several tasks: rows with long lists carry a salt of their block, and the dictionary repeats those
-chunks for each salt.
+* `chunk_documents` counts chunks: for each batch of rows, each language and chunk, the documents that hold it.
+* `dictionary` cuts each globally distinct chunk into terms once. The documents of all chunks with a term are no fewer than the
+  documents with the term, so terms whose sum is below the bound can never be kept, and their chunks leave here: a long tail of
+  chunks that few documents hold is not looked at again.
+* `term_counts` joins the terms back to the chunks of the documents and sums up, in each batch, a term's occurrences by source
+  and its distinct documents: forms of a term ("one", "One,", "(one)") meet in the document. Batches are summed in Spark.
+
+The join goes through the dictionary in slices of at most SLICE chunk and term pairs, dealt by term: a slice is what a worker
+holds, and a term is in one slice with all its forms. A larger vocabulary takes more passes over the documents, with the same
+results. Chunks are looked up by 64-bit hashes.
 
 `audit` compares the sources of each language by smoothed shares of the kept terms. Shares are exact (decimal) and whole numbers.
 For each kept term the shares of all sources of the language stand in one array, as long as the language has sources; the
@@ -24,13 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pieces import bytes_but, find, portions
 from .shared import held, partitions, settle, ship
-from .words import texts_of
+from .words import BASE, mix, texts_of
 
 # What a term is made of, letters to lower, smoothing and scale.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,7 +40,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = ((0x09, 0x0D), (0x20, 0x20))
 PRIOR, SCALE = 5, 1_000_000_000
 
-LONG_LIST = 256  # documents of a block; rows with more are salted
+SLICE = 2_000_000
 
 
 def changes(*keys: np.ndarray) -> np.ndarray:
@@ -48,83 +50,143 @@ def changes(*keys: np.ndarray) -> np.ndarray:
     return differs
 
 
-def chunk_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """block, lang, chunk, docs (places in the block), sources, counts (occurrences by source)."""
-    ship(docs.sparkSession)
+def texts_by_group(docs: DataFrame, text_column: str, lang_column: str, source_column: str) -> DataFrame:
+    return docs.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"), F.col(source_column).cast("string").alias("source"))
+
+
+def codes(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct values of a column, null as '', and the place of each row's value."""
+    coded = column.fill_null("").dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
+def chunk_documents(texts: DataFrame) -> DataFrame:
+    """chunk, lang, n: how many documents of a batch hold a chunk. Each (chunk, lang) once for a batch."""
+    ship(texts.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = bytes_but(*SPACE)
-        task = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            texts = texts_of(batch.column(0))
-            names = [[v or "" for v in batch.column(c).to_pylist()] for c in (1, 2)]
-            kinds = [{v: i for i, v in enumerate(sorted(set(some)))} for some in names]
-            lang, source = (np.array([kind[v] for v in some], np.int64) for some, kind in zip(names, kinds))
-            keys, words, counts, chunks = [], [], [], {}
-            for portion in portions(texts):
+        for batch in batches:
+            names, lang = codes(batch.column(1))
+            seen: list[np.ndarray] = []  # places of (hash, document) of each portion
+            held_hashes, chunks = [], {}
+            for portion in portions(texts_of(batch.column(0))):
                 found = find(portion, inside, lower=False)
                 distinct, first, which = np.unique(found.hashes, return_index=True, return_inverse=True)
                 for h, at in zip(distinct.tolist(), first.tolist()):
                     if h not in chunks:
                         chunks[h] = found.data[found.starts[at] : found.ends[at]]
-                key, count = np.unique(which * len(texts) + found.text, return_counts=True)
-                word, doc = np.divmod(key, len(texts))
-                keys.append(doc)
-                words.append(distinct[word])
-                counts.append(count)
-            if not keys:
+                word, doc = np.divmod(np.unique(which * batch.num_rows + found.text), batch.num_rows)
+                held_hashes.append(distinct[word])
+                seen.append(doc)
+            if not seen:
                 continue
-            doc, word, count = np.concatenate(keys), np.concatenate(words), np.concatenate(counts)
-            order = np.lexsort((doc, source[doc], word, lang[doc]))
-            doc, word, count = doc[order], word[order], count[order]
+            word, doc = np.concatenate(held_hashes), np.concatenate(seen)
+            order = np.lexsort((doc, word, lang[doc]))
+            word, doc = word[order], doc[order]
             # A text of several portions may hold a chunk in more than one of them.
-            own = np.flatnonzero(changes(word, doc))
-            doc, word, count = doc[own], word[own], np.add.reduceat(count, own)
-            row, group = np.flatnonzero(changes(lang[doc], word)), np.flatnonzero(changes(lang[doc], word, source[doc]))
-            ends = np.append(row, len(doc)).astype(np.int32)
-            of_group = pa.array(np.append(np.searchsorted(group, row), len(group)).astype(np.int32))
-            langs, sources = (pa.array(list(kind), pa.string()) for kind in kinds)
+            own = changes(word, doc)
+            word, doc = word[own], doc[own]
+            row = np.flatnonzero(changes(word, lang[doc]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(row), (task << 32) + number)),
-                    langs.take(pa.array(lang[doc[row]])),
                     pa.array([chunks[h] for h in word[row].tolist()], pa.binary()).cast(pa.string()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(doc.astype(np.int32))),
-                    pa.ListArray.from_arrays(of_group, sources.take(pa.array(source[doc[group]]))),
-                    pa.ListArray.from_arrays(of_group, pa.array(np.add.reduceat(count, group))),
+                    pa.array(names, pa.string()).take(pa.array(lang[doc[row]])), pa.array(np.diff(np.append(row, len(doc)))),
                 ],
-                names=["block", "lang", "chunk", "docs", "sources", "counts"],
+                names=["chunk", "lang", "n"],
             )
 
-    columns = docs.select(F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"), F.col(source_column).cast("string").alias("source"))
-    return columns.mapInArrow(read, "block long, lang string, chunk string, docs array<int>, sources array<string>, counts array<long>")
+    return texts.select("text", "lang").mapInArrow(read, "chunk string, lang string, n long")
+
+
+def dictionary(counted: DataFrame, least_documents: int) -> DataFrame:
+    """lang, chunk, term, repeats: each distinct chunk cut once, for the terms that may be in enough documents of a language."""
+    dealt = counted.repartition(partitions(counted.sparkSession), "chunk")
+    chunks = dealt.groupBy("chunk", "lang").agg(F.sum("n").alias("n")).groupBy("chunk").agg(F.collect_list(F.struct("lang", "n")).alias("langs"))
+    cut = held(chunks, "chunk", "langs", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0).alias("terms"))
+    each = cut.select("chunk", "langs", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    each = each.select("chunk", "langs", "term", F.size(F.filter("terms", lambda t: t == F.col("term"))).alias("repeats"))
+    forms = settle(each.select("chunk", "term", "repeats", F.inline("langs")))
+    enough = forms.groupBy("lang", "term").agg(F.sum("n").alias("most")).filter(F.col("most") >= least_documents)
+    return forms.join(enough.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "chunk", "term", "repeats")
+
+
+class Slice:
+    """A part of the dictionary for look-ups by language and chunk hash."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.langs, lang = codes(table.column("lang").combine_chunks())
+        self.terms, term = codes(table.column("term").combine_chunks())
+        chunks = texts_of(table.column("chunk").combine_chunks())
+        hashes = np.zeros(len(chunks), np.uint64)
+        at = 0
+        for portion in portions(chunks):
+            found = find(portion, bytes_but(*SPACE), lower=False).hashes
+            hashes[at : at + len(found)] = found
+            at += len(found)
+        key = mix(hashes + lang.astype(np.uint64) * BASE)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        self.first = np.flatnonzero(changes(key))
+        self.last = np.append(self.first[1:], len(key))
+        self.key, self.term, self.repeats = key[self.first], term[order], table.column("repeats").to_numpy()[order].astype(np.int64)
+
+    def occurrences(self, hashes: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of chunks in languages (numbers in `langs`, -1 for others): places, terms and repeats of all their terms."""
+        key = mix(hashes + lang.astype(np.uint64) * BASE)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = np.flatnonzero((self.key[at] == key) & (lang >= 0))
+        first, n = self.first[at[hit]], (self.last - self.first)[at[hit]]
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.term[entry], self.repeats[entry]
+
+
+def _counts(texts: DataFrame, part: Slice) -> DataFrame:
+    """lang, source, term, count, documents of each batch for the terms of a slice."""
+    shared = texts.sparkSession.sparkContext.broadcast(part)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, inside = shared.value, bytes_but(*SPACE)
+        place = {name: i for i, name in enumerate(own.langs)}
+        for batch in batches:
+            (names, lang), (sources, source) = codes(batch.column(1)), codes(batch.column(2))
+            known = np.array([place.get(name, -1) for name in names] or [-1], np.int64)
+            keys, counts = [], []
+            for portion in portions(texts_of(batch.column(0))):
+                found = find(portion, inside, lower=False)
+                at, term, repeats = own.occurrences(found.hashes, known[lang[found.text]])
+                key, which = np.unique(found.text[at] * len(own.terms) + term, return_inverse=True)
+                keys.append(key)
+                counts.append(np.bincount(which, repeats, len(key)).astype(np.int64))
+            if not keys or not sum(map(len, keys)):
+                continue
+            key, which = np.unique(np.concatenate(keys), return_inverse=True)
+            count = np.bincount(which, np.concatenate(counts), len(key)).astype(np.int64)
+            doc, term = np.divmod(key, len(own.terms))
+            order = np.lexsort((term, source[doc], lang[doc]))
+            doc, term, count = doc[order], term[order], count[order]
+            row = np.flatnonzero(changes(term, source[doc], lang[doc]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names, pa.string()).take(pa.array(lang[doc[row]])), pa.array(sources, pa.string()).take(pa.array(source[doc[row]])),
+                    pa.array(own.terms, pa.string()).take(pa.array(term[row])), pa.array(np.add.reduceat(count, row)), pa.array(np.diff(np.append(row, len(doc)))),
+                ],
+                names=["lang", "source", "term", "count", "documents"],
+            )
 
-def dictionary(counted: DataFrame, salts: int) -> DataFrame:
-    """chunk, salt, term, repeats: each distinct chunk cut once."""
-    chunks = counted.groupBy("chunk").agg(F.max(F.size("docs")).alias("most"))
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
-    cut = held(chunks, "chunk", "most", terms.alias("terms"))
-    each = cut.withColumn("term", F.explode(F.array_distinct("terms"))).select(
-        "chunk", "term", F.size(F.filter("terms", lambda t: t == F.col("term"))).alias("repeats"),
-        F.when(F.col("most") > LONG_LIST, F.sequence(F.lit(0), F.lit(salts))).otherwise(F.array(F.lit(0))).alias("salts"),
-    )
-    return each.select("chunk", F.explode("salts").alias("salt"), "term", "repeats")
+    return texts.mapInArrow(read, "lang string, source string, term string, count long, documents long")
 
 
-def term_counts(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, term, documents) and (lang, source, term, count) from the chunks of blocks."""
-    salts = partitions(counted.sparkSession)
-    salt = F.when(F.size("docs") > LONG_LIST, 1 + F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    joined = counted.withColumn("salt", salt).join(dictionary(counted, salts), ["chunk", "salt"])
-    occurrences = joined.select(
-        "lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("part"), "repeats"
-    ).groupBy("lang", F.col("part.sources").alias("source"), "term").agg(F.sum(F.col("part.counts") * F.col("repeats")).alias("count"))
-    # Forms of a term in a block: a term with one form needs no union.
-    forms = joined.groupBy("lang", "term", "block").agg(F.collect_list("docs").alias("forms"))
-    united = F.when(F.size("forms") == 1, F.size(F.col("forms")[0])).otherwise(F.size(F.array_distinct(F.flatten("forms"))))
-    documents = forms.select("lang", "term", united.cast("long").alias("n")).groupBy("lang", "term").agg(F.sum("n").alias("documents"))
-    return documents, occurrences
+def term_counts(texts: DataFrame, known: DataFrame) -> DataFrame | None:
+    """lang, source, term, count, documents; None without terms. `known`: the dictionary, in the shared folder."""
+    passes = -(-known.count() // SLICE)
+    found = None
+    for n in range(passes):
+        table = known.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == n).toArrow()  # about SLICE rows
+        if table.num_rows:
+            part = _counts(texts, Slice(table))
+            found = part if found is None else found.unionByName(part)
+    return found and found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
 
 
 def share(count, total, terms):
@@ -138,9 +200,14 @@ def audit(
 ) -> DataFrame:
     """lang, source, part (`pair`, `term`), item, value, rank."""
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_column, "lang"), (source_column, "source")))).distinct()
-    documents, occurrences = term_counts(settle(chunk_counts(docs, text_column, lang_column, source_column)))
-    kept = documents.filter(F.col("documents") >= least_documents).select("lang", "term")
-    counts = settle(occurrences.join(kept, ["lang", "term"]))
+    texts = texts_by_group(docs, text_column, lang_column, source_column)
+    known = settle(dictionary(chunk_documents(texts), least_documents))
+    found = term_counts(texts, known)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "lang string, source string, term string, count long, documents long")
+    found = settle(found)
+    kept = found.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= least_documents)
+    counts = settle(found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "count"))
 
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     by_source = groups.join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0)))

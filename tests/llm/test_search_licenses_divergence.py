@@ -195,9 +195,9 @@ def audited(rows, least: int, top: int) -> set:
     return out
 
 
-@pytest.mark.parametrize(("least", "portion", "long_list"), [(2, 1 << 20, 256), (5, 40, 3), (1000, 1 << 20, 256)])
-def test_divergence(docs, rows, empty, monkeypatch, least, portion, long_list):
-    monkeypatch.setattr(divergence, "LONG_LIST", long_list)
+@pytest.mark.parametrize(("least", "portion", "rows_of_slice"), [(2, 1 << 20, 1_000_000), (5, 40, 30), (1000, 1 << 20, 1_000_000)])
+def test_divergence(docs, rows, empty, monkeypatch, least, portion, rows_of_slice):
+    monkeypatch.setattr(divergence, "SLICE", rows_of_slice)
     monkeypatch.setattr(pieces, "PORTION", portion)
     got = [(r.lang, r.source, r.part, r["item"], r.value, r.rank) for r in divergence.audit(docs, least, 4).collect()]
     assert len(got) == len(set(got)) and set(got) == audited(rows, least, 4)
