@@ -16,11 +16,13 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ KEPT_PIECES = 120_000
 KEPT_LENGTH = 48
 KEPT_PAIRS = 250_000
 NEVER = 1 << 40
-_coders: dict[tuple[int, str], ByteBpe] = {}
+_coders: WeakKeyDictionary[Broadcast, ByteBpe] = WeakKeyDictionary()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -174,14 +176,13 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def coder(data: bytes, pattern: str) -> ByteBpe:
-    """The coder of this worker for one vocabulary."""
-    key = (hash(data), pattern)
-    if key not in _coders:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
-        _coders.clear()
-        _coders[key] = ByteBpe(ranks, pattern)
-    return _coders[key]
+def coder(vocabulary: Broadcast, pattern: str) -> ByteBpe:
+    """The coder of this worker for one vocabulary. It lives as long as the worker holds the broadcast, so that a worker that goes
+    on with other tasks does not keep what it has remembered."""
+    if vocabulary not in _coders:
+        lines = vocabulary.value.splitlines()
+        _coders[vocabulary] = ByteBpe({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}, pattern)
+    return _coders[vocabulary]
 
 
 def _vocabulary(frame: DataFrame, path: str):
@@ -200,7 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     vocabulary = _vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(vocabulary.value, pattern)
+        bpe = coder(vocabulary, pattern)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -217,7 +218,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     vocabulary = _vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(vocabulary.value, pattern)
+        bpe = coder(vocabulary, pattern)
         for batch in batches:
             decoded = [bpe.decode(ids or b"") for ids in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _binary(decoded)], ["doc_id", "n_tokens", "ids", "decoded"])
