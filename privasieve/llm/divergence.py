@@ -116,7 +116,8 @@ class Slice:
 
     def __init__(self, table: pa.Table) -> None:
         self.langs, lang = codes(table.column("lang").combine_chunks())
-        self.terms, term = codes(table.column("term").combine_chunks())
+        coded = table.column("term").combine_chunks().dictionary_encode()
+        self.terms, term = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
         chunks = texts_of(table.column("chunk").combine_chunks())
         hashes = np.zeros(len(chunks), np.uint64)
         at = 0
@@ -127,16 +128,17 @@ class Slice:
         key = mix(hashes + lang.astype(np.uint64) * BASE)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        self.first = np.flatnonzero(changes(key))
-        self.last = np.append(self.first[1:], len(key))
-        self.key, self.term, self.repeats = key[self.first], term[order], table.column("repeats").to_numpy()[order].astype(np.int64)
+        first = np.flatnonzero(changes(key))
+        self.first = np.append(first, len(key)).astype(np.int32)
+        self.key, self.term, self.repeats = key[first], term[order], table.column("repeats").to_numpy()[order].astype(np.int32)
 
     def occurrences(self, hashes: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of chunks in languages (numbers in `langs`, -1 for others): places, terms and repeats of all their terms."""
         key = mix(hashes + lang.astype(np.uint64) * BASE)
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         hit = np.flatnonzero((self.key[at] == key) & (lang >= 0))
-        first, n = self.first[at[hit]], (self.last - self.first)[at[hit]]
+        first = self.first[at[hit]].astype(np.int64)
+        n = self.first[at[hit] + 1] - first
         entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(hit, n), self.term[entry], self.repeats[entry]
 
@@ -155,7 +157,7 @@ def _counts(texts: DataFrame, part: Slice) -> DataFrame:
             for portion in portions(texts_of(batch.column(0))):
                 found = find(portion, inside, lower=False)
                 at, term, repeats = own.occurrences(found.hashes, known[lang[found.text]])
-                key, which = np.unique(found.text[at] * len(own.terms) + term, return_inverse=True)
+                key, which = np.unique(found.text[at] * len(own.terms) + term.astype(np.int64), return_inverse=True)
                 keys.append(key)
                 counts.append(np.bincount(which, repeats, len(key)).astype(np.int64))
             if not keys or not sum(map(len, keys)):
@@ -169,7 +171,7 @@ def _counts(texts: DataFrame, part: Slice) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names, pa.string()).take(pa.array(lang[doc[row]])), pa.array(sources, pa.string()).take(pa.array(source[doc[row]])),
-                    pa.array(own.terms, pa.string()).take(pa.array(term[row])), pa.array(np.add.reduceat(count, row)), pa.array(np.diff(np.append(row, len(doc)))),
+                    own.terms.take(pa.array(term[row])), pa.array(np.add.reduceat(count, row)), pa.array(np.diff(np.append(row, len(doc)))),
                 ],
                 names=["lang", "source", "term", "count", "documents"],
             )
