@@ -17,11 +17,10 @@ RUNS = "run_id string, batches int, late_rows long"
 
 
 def read_stream(spark: SparkSession, directory: str, pattern: str, files_per_batch: int = 16) -> DataFrame:
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(directory).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(directory)
-    )
+    """A stream of the files of a folder that a pattern names; what it names may be a folder of part files itself."""
+    # A pattern in braces stays a pattern where it has no wildcard: a stream reads one named path as a folder only.
+    path = f"{directory}/{{{pattern}}}"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _finish(spark: SparkSession, writer, folder: str) -> None:

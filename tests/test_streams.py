@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from privasieve.plans import QUERIES
 from privasieve.streaming import jobs
 
 NOON = datetime(2024, 5, 1, 12)
@@ -71,6 +72,20 @@ def test_repeats_across_batches(spark, landing, tmp_path):
 FILES = "doc_id long, path string, text string, size_bytes long"
 
 
+@pytest.mark.parametrize("name", ["stm_detect", "stm_delta"])
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_may_be_one_file_or_a_folder_of_files(spark, tmp_path, name, parts):
+    rows = [(i, f"mail a{i}@b.org", "src") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts or 1).write.parquet(f"{tmp_path}/made")
+    if parts:
+        os.rename(f"{tmp_path}/made", f"{tmp_path}/documents.parquet")
+    else:
+        part = next(n for n in os.listdir(f"{tmp_path}/made") if n.endswith(".parquet"))
+        os.rename(f"{tmp_path}/made/{part}", f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.type) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == [(i, "email") for i in range(6)]
+
+
 def document(i: int, text: str) -> tuple:
     return (i, f"p/{i}", text, len(text))
 
