@@ -50,6 +50,28 @@ class Limits:
 BOUNDED = Limits(fixed.SCAN_CHARS, fixed.SIGNALS_PER_DOCUMENT)
 
 
+# What is near a digit: of a stretch without digits its ends stay, so every cheap pattern with a digit in it is still found.
+# The end may take part in the start again; blanks of any number between two parts of a pattern stay blanks.
+_FAR = r"([^\p{Nd}]{6})[^\p{Nd}]++(?<=([^\p{Nd}]{6}))"
+_DIGIT_RULES = ("iban", "phone", "employee_id", "ssn", "uk_nino", "ipv4", "uuid", "payment_card", "geo")
+_HEX_RULES = ("ipv6", "mac")
+_HEX_GROUP = "[:-][0-9A-Fa-f]{1,4}[:-]"
+
+
+def near_digits(text: Column) -> Column:
+    """The parts of a text in which a pattern with a digit can be: empty for most texts, short for others."""
+    return F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(text, _FAR, "$1$2")).otherwise("")
+
+
+def _hinted(name: str, digits: Column, hex_groups: Column) -> Column:
+    """Whether the cheap pattern of a rule can be in a text, told from what was read of it once for all rules."""
+    if name in _HEX_RULES:
+        return hex_groups
+    if name == "geo":  # blanks after the comma are cut short
+        return digits.rlike(java_regex(r"(?:,\s*|\s{5})[-+]?\d"))
+    return digits.rlike(java_regex(_RULES[name].needs)) if name in _DIGIT_RULES else F.lit(True)
+
+
 def pattern_spans(text: Column, name: str) -> Column:
     """Every match of one pattern rule, before its value and context checks."""
     rule = _RULES[name]
@@ -171,8 +193,8 @@ def not_blocked(signals: Column, accepted: Column) -> Column:
     return F.filter(signals, lambda s: ~F.exists(accepted, lambda a: blocks(s, a)))
 
 
-def _pattern_signal(text: Column, name: str, accepted: Column) -> Column:
-    """The first match of one rule that no accepted label signal blocks, null if none.
+def _pattern_signal(text: Column, name: str, accepted: Column, possible: Column) -> Column:
+    """The first match of one rule that no accepted label signal blocks, null if none or if none is `possible`.
 
     The snippet of a pattern rule is constant, so a rule can give at most one signal per document.
     """
@@ -187,7 +209,7 @@ def _pattern_signal(text: Column, name: str, accepted: Column) -> Column:
         rule_spans(text, name), lambda m: ~F.exists(rivals, lambda a: _overlaps(m, a))
     )
     return let(
-        F.when(~same_key, F.get(free, F.lit(0))),
+        F.when(possible & ~same_key, F.get(free, F.lit(0))),
         lambda m: F.when(
             m.isNotNull(),
             F.struct(
@@ -220,8 +242,11 @@ def _stages() -> dict[str, Column]:
     """The detection expressions by column name. They are long, so they are built once."""
     text = F.col("_text")
     labels, stacked, accepted = F.col("_labels"), F.col("_stacked"), F.col("_accepted")
-    found = F.array(*[_pattern_signal(text, r.name, accepted) for r in fixed.PATTERN_RULES])
+    hints = F.col("_digits"), F.col("_hex")
+    found = F.array(*[_pattern_signal(text, r.name, accepted, _hinted(r.name, *hints)) for r in fixed.PATTERN_RULES])
     return {
+        "_digits": near_digits(text),
+        "_hex": text.rlike(_HEX_GROUP),
         "_lines": lines(text),
         "_labels": label_signals(F.col("_lines")),
         "_stacked": stacked_signals(F.col("_lines")),

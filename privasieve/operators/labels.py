@@ -21,6 +21,7 @@ from ..functions.text import (
     empty,
     fold,
     fold_text,
+    is_wide,
     let,
     literal_alternation,
     lstrip,
@@ -49,7 +50,8 @@ _EXPLICIT = f"(?iu)({literal_alternation(_ALL)})([{SPACE}]*)({_SEPARATOR})([{SPA
 _BLANK = f"(?iu)({literal_alternation(_BLANK_LABELS)})(?=[{SPACE}]+[^{SPACE}])"
 _BARE = f"(?iu)({literal_alternation(_BARE_LABELS)})"
 
-_MAY_HAVE_LABEL = f"(?i){_SEPARATOR}|passport|{_CJK_ARABIC}"
+_MARKS = r"[:#=\-]"
+_WIDE_MARKS = r"[：\u2013-\u2014\u0600-\u06ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]"  # wide separators and letters of those scripts
 # At most six words, and one more for separators that stand alone.
 _FEW_WORDS = (
     f"\\A[{SPACE}]*+(?:[^{SPACE}\\p{{N}}/\\\\|{{}}\\[\\]()]++(?:[{SPACE}]++|\\z)){{1,7}}\\z"
@@ -325,9 +327,13 @@ def line_signals(line: Column) -> Column:
     )
 
 
+def may_have_label(line: Column) -> Column:
+    return line.rlike(_MARKS) | (is_wide(line) & line.rlike(_WIDE_MARKS)) | F.lower(line).contains("passport")
+
+
 def label_signals(lines: Column) -> Column:
     """All label signals of a document, in line order."""
-    worth_reading = F.filter(lines, lambda ln: ln["line"].rlike(_MAY_HAVE_LABEL))
+    worth_reading = F.filter(lines, lambda ln: may_have_label(ln["line"]))
     return F.flatten(F.transform(worth_reading, line_signals))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from privasieve.functions import fixed
+from privasieve.functions.text import java_regex, lines
 from privasieve.operators import detect
 
 TEXTS = [
@@ -101,3 +102,26 @@ def test_raw_values_never_leave(spark):
     for signals in found(spark, TEXTS).values():
         for _, snippet, *_ in signals:
             assert "@" not in snippet and not any(c.isdigit() for c in snippet.split("[")[-1])
+
+
+def test_cheap_hints_find_what_the_whole_text_holds(spark):
+    """Every cheap pattern that is in a text is in what is read of it for all rules at once."""
+    far = "x" * 40
+    parts = ["12", "AB12", "-123", "-12-", "12 34 56", ".1.", "-4abc-", "1" + " " * 30 + "2" * 12, "4111-1111 1111" + "-" * 20 + "1111", "50,  -7", "50," + " " * 30 + "-7", "1 ,\t9"]
+    texts = [(i, text) for i, text in enumerate(t for p in parts for t in (p, far + p + far, f"{far}, {p} {far} 1", p + far + p))]
+    frame = spark.createDataFrame(texts, "doc_id int, text string").withColumn("digits", detect.near_digits(F.col("text")))
+    for name in detect._DIGIT_RULES:
+        whole = F.col("text").rlike(java_regex(detect._RULES[name].needs))
+        assert frame.filter(whole & ~detect._hinted(name, F.col("digits"), F.lit(True))).count() == 0, name
+
+
+def test_lines_break_alike_with_and_without_rare_breaks(spark):
+    texts = ["", "\n", "a\nb", "a\nb\n", "a\r\nb\r", "a\x0bb\x1cc\x85d", "a b c\n", "é\n\né"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: [(x.start, x.line) for x in r.ln] for r in rows.select("doc_id", lines(F.col("text")).alias("ln")).collect()}
+    for i, text in enumerate(texts):
+        at, expected = 0, []
+        for line in text.splitlines(keepends=True):
+            expected.append((at, line.rstrip("\r\n")))
+            at += len(line)
+        assert got[i] == expected, repr(text)
