@@ -28,9 +28,10 @@ _KEPT: dict[tuple, DataFrame] = {}
 
 def signals(spark: SparkSession, directory: str, limits: detect.Limits = detect.Limits()) -> DataFrame:
     """The signals of the corpus. They are small and many queries start from them, so the rows are
-    kept for the session; a lost part is worked out again from the input."""
+    kept for the session; a lost part is worked out again from the input. Where the session's cache
+    was cleared meanwhile, they are kept anew, so a query that uses them twice does not detect twice."""
     key = (spark.sparkContext.applicationId, directory, limits)
-    if key not in _KEPT:
+    if key not in _KEPT or _KEPT[key].storageLevel == StorageLevel.NONE:
         found = detect.detect_signals(corpus(spark, directory), limits=limits)
         _KEPT[key] = found.persist(StorageLevel.MEMORY_AND_DISK)
     return _KEPT[key]

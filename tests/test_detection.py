@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from privasieve.functions import fixed
 from privasieve.functions.text import java_regex, lines
 from privasieve.operators import detect
+from privasieve.plans import detection_queries
 
 TEXTS = [
     "Name: Bob Miller\nEmail: u1@example.org\nPhone: +49 30 0000001",
@@ -125,3 +126,14 @@ def test_lines_break_alike_with_and_without_rare_breaks(spark):
             expected.append((at, line.rstrip("\r\n")))
             at += len(line)
         assert got[i] == expected, repr(text)
+
+
+def test_kept_signals_are_kept_anew_after_the_cache_was_cleared(spark, tmp_path):
+    spark.createDataFrame([(1, "src", "mail a@b.org")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "c_custkey long, c_name string, c_address string, c_nationkey long, c_phone string, c_acctbal double, c_mktsegment string, c_comment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([], "n_nationkey long, n_name string, n_regionkey long, n_comment string").write.parquet(f"{tmp_path}/nation.parquet")
+    detection_queries.signals(spark, str(tmp_path))
+    spark.catalog.clearCache()
+    again = detection_queries.signals(spark, str(tmp_path))
+    assert again.storageLevel.useMemory
+    assert [(r.doc_id, r.type) for r in again.collect()] == [(1, "email")]
