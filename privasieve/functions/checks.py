@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import SPACE, contains_any, java_regex, let, strip
+from .text import SPACE, contains_any, java_regex, let, strip, trim_blanks
 
 _DIGITS = [chr(c) for c in range(0x660, 0x10000) if unicodedata.category(chr(c)) == "Nd"]
 _DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
@@ -74,7 +74,7 @@ def phone_context_ok(text: Column, start: Column, end: Column, value: Column) ->
     """A bare digit string needs a phone word near it; a formatted one does not."""
     near = F.lower(around(text, start, end, fixed.PHONE_CONTEXT_CHARS))
     return F.when(value.rlike(r"[+ \-().]"), F.lit(True)).otherwise(
-        contains_any(near, fixed.PHONE_WORDS)
+        let(near, lambda n: contains_any(n, fixed.PHONE_WORDS))
     )
 
 
@@ -86,14 +86,12 @@ def amount_context_ok(text: Column, start: Column, end: Column) -> Column:
 
 def filled_value(value: Column) -> Column:
     """A form value that says something: not blank, not punctuation, not a placeholder word."""
-    plain = strip(value)
-    word = F.lower(F.regexp_replace(plain, r"\A[ _.\-/]+|[ _.\-/]+\z", ""))
-    return (
-        (F.length(plain) >= 2)
-        & ~plain.rlike(f"\\A[{SPACE}._/\\\\|()\\[\\]{{}}-]+\\z")
-        & ~word.isin(*fixed.PLACEHOLDER_VALUES)
-        & plain.rlike(r"[\p{L}\p{N}]")
-    )
+
+    def says_something(plain: Column) -> Column:
+        word = F.lower(F.btrim(plain, F.lit(" _.-/")))
+        return (F.length(plain) >= 2) & plain.rlike(r"[\p{L}\p{N}]") & ~word.isin(*fixed.PLACEHOLDER_VALUES)
+
+    return let(trim_blanks(value), says_something)
 
 
 def handle_value(value: Column) -> Column:

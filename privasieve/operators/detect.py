@@ -30,13 +30,15 @@ from ..functions.text import (
     let,
     lines,
     match_spans,
+    replaced,
     searchable,
     short_hash,
 )
 from .labels import SIGNAL, label_signals, stacked_signals
 
 _RULES = {rule.name: rule for rule in fixed.PATTERN_RULES}
-_PHONE_RUN = r"[\p{Nd} \-().+]*\p{Nd}[\p{Nd} \-().+]*"
+_PHONE_RUN = r"[\d \-().+]*\d[\d \-().+]*"
+_PHONE_DIGITS = 7  # the fewest of a valid phone number
 
 
 @dataclass(frozen=True)
@@ -58,9 +60,14 @@ _HEX_RULES = ("ipv6", "mac")
 _HEX_GROUP = "[:-][0-9A-Fa-f]{1,4}[:-]"
 
 
+def _regexes(pattern: str, ignore_case: bool = False) -> tuple[str, str]:
+    """A Python pattern for all texts, and for those of ASCII characters only."""
+    return java_regex(pattern, ignore_case), java_regex(pattern, ignore_case, only_ascii=True)
+
+
 def near_digits(text: Column) -> Column:
     """The parts of a text in which a pattern with a digit can be: empty for most texts, short for others."""
-    return F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(text, _FAR, "$1$2")).otherwise("")
+    return F.when(text.rlike(r"\p{Nd}"), replaced(text, _FAR, _FAR.replace(r"\p{Nd}", "0-9"), "$1$2")).otherwise("")
 
 
 def _hinted(name: str, digits: Column, hex_groups: Column) -> Column:
@@ -75,7 +82,7 @@ def _hinted(name: str, digits: Column, hex_groups: Column) -> Column:
 def pattern_spans(text: Column, name: str) -> Column:
     """Every match of one pattern rule, before its value and context checks."""
     rule = _RULES[name]
-    return _if_possible(text, rule, match_spans(text, java_regex(rule.pattern, rule.ignore_case)))
+    return _if_possible(text, rule, match_spans(text, *_regexes(rule.pattern, rule.ignore_case)))
 
 
 def _if_possible(text: Column, rule: fixed.PatternRule, spans: Column) -> Column:
@@ -93,7 +100,7 @@ def phone_candidates(text: Column, only_possible: bool = True) -> Column:
     The text is cut into runs of digits and phone punctuation first, so the test of a match reads
     its own run and not the document. With `only_possible`, runs that cannot pass are left out.
     """
-    regex = java_regex(fixed.PHONE)
+    regexes = _regexes(fixed.PHONE)
 
     def in_run(run: Column) -> Column:
         first = F.greatest(run["start"] - 1, F.lit(0))
@@ -101,7 +108,7 @@ def phone_candidates(text: Column, only_possible: bool = True) -> Column:
         return let(
             piece,
             lambda p: F.transform(
-                match_spans(p, regex),
+                match_spans(p, *regexes),
                 lambda m: F.struct(
                     (m["start"] + first).alias("start"),
                     (m["end"] + first).alias("end"),
@@ -111,12 +118,12 @@ def phone_candidates(text: Column, only_possible: bool = True) -> Column:
             ),
         )
 
-    # A run of more than 15 ASCII digits can hold no phone number; one with other digits may.
+    # A run of less than 7 digits or more than 15 ASCII digits can hold no phone number; one of more digits in other scripts may.
     def possible(run: Column) -> Column:
         count = F.length(F.regexp_replace(run["value"], r"[^\p{Nd}]", ""))
-        return (count >= 4) & ((count <= 15) | run["value"].rlike(r"[\p{Nd}&&[^0-9]]"))
+        return (count >= _PHONE_DIGITS) & ((count <= 15) | run["value"].rlike(r"[\p{Nd}&&[^0-9]]"))
 
-    runs = match_spans(text, _PHONE_RUN)
+    runs = match_spans(text, *_regexes(_PHONE_RUN))
     if only_possible:
         runs = F.filter(runs, possible)
     found = F.flatten(F.transform(runs, in_run))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.checks import EMPLOYEE_VALUE, PASSPORT_VALUE, filled_value, handle_value
 from ..functions.text import (
+    ASCII_SPACE,
+    BLANKS,
     FIELD,
     MARK,
     SPACE,
@@ -24,10 +26,9 @@ from ..functions.text import (
     is_wide,
     let,
     literal_alternation,
-    lstrip,
-    rstrip,
+    replaced,
     running_starts,
-    strip,
+    trim_blanks,
 )
 
 SIGNAL = (
@@ -47,6 +48,7 @@ _BLANK_LABELS = fixed.WHITESPACE_LABELS + tuple(w for w in _ALL if re.search(_CJ
 _BARE_LABELS = tuple(w for w in _ALL if re.search(_CJK, w))
 
 _EXPLICIT = f"(?iu)({literal_alternation(_ALL)})([{SPACE}]*)({_SEPARATOR})([{SPACE}]*)"
+_EXPLICIT_ASCII = f"(?i)({literal_alternation([w for w in _ALL if w.isascii()])})([{ASCII_SPACE}]*)([:#=-])([{ASCII_SPACE}]*)"
 _BLANK = f"(?iu)({literal_alternation(_BLANK_LABELS)})(?=[{SPACE}]+[^{SPACE}])"
 _BARE = f"(?iu)({literal_alternation(_BARE_LABELS)})"
 
@@ -73,6 +75,8 @@ def label_rule(label: Column, value: Column) -> Column:
     rules can match at all, so most labels are tested against few rules.
     """
 
+    employee_value = value.contains("-") & value.rlike(EMPLOYEE_VALUE)
+
     def test(rule: fixed.LabelRule, folded: Column, plain: Column) -> Column:
         if rule in fixed.MULTILINGUAL_RULES:
             return contains_any(folded, [fold_text(w) for w in rule.words])
@@ -81,7 +85,7 @@ def label_rule(label: Column, value: Column) -> Column:
         if rule.test == "handle":
             return plain.isin(*rule.words) & handle_value(value)
         if rule.test == "employee":
-            return contains_any(plain, rule.words) | value.rlike(EMPLOYEE_VALUE)
+            return contains_any(plain, rule.words) | employee_value
         if rule.test == "person":
             return (
                 contains_any(plain, rule.words)
@@ -103,14 +107,16 @@ def label_rule(label: Column, value: Column) -> Column:
     def choose(keys: Column) -> Column:
         folded, plain = keys["folded"], keys["plain"]
         foreign = contains_any(folded, [fold_text(w) for w in fixed.MULTILINGUAL_WORDS])
-        early = contains_any(plain, [w for r in _EARLY_RULES for w in r.words]) | value.rlike(EMPLOYEE_VALUE)
+        early = contains_any(plain, [w for r in _EARLY_RULES for w in r.words]) | employee_value
         number = F.when(foreign, first(fixed.MULTILINGUAL_RULES, folded, plain)).otherwise(
             F.coalesce(F.when(early, first(_EARLY_RULES, folded, plain)), first(_LATE_RULES, folded, plain))
         )
         return F.nullif(number, F.lit(_STOP))
 
-    keys = F.struct(fold(label).alias("folded"), F.lower(clean_label(label)).alias("plain"))
-    return let(keys, choose)
+    def with_folded(plain: Column) -> Column:  # of an ASCII label both forms are the same
+        return let(F.struct(F.when(is_wide(label), fold(label)).otherwise(plain).alias("folded"), plain.alias("plain")), choose)
+
+    return let(F.lower(clean_label(label)), with_folded)
 
 
 def _rules() -> Column:
@@ -163,10 +169,10 @@ def _with_rule(label: Column, start: Column, end: Column, value: Column, *more:
     )
 
 
-def _pass(line: Column, regex: str, groups: int) -> Column:
+def _pass(line: Column, regex: str, groups: int, ascii_regex: str | None = None) -> Column:
     """Matches of one label pass with their cleaned label, before any overlap test."""
     fields = FIELD.join(f"${g}" for g in range(1, groups + 1))
-    pieces = F.split(F.regexp_replace(line, F.lit(regex), F.lit(MARK + fields + MARK)), MARK, -1)
+    pieces = F.split(replaced(line, regex, ascii_regex, MARK + fields + MARK), MARK, -1)
 
     def labels(parts: Column) -> Column:
         marks = F.lit(groups - 1)
@@ -178,7 +184,7 @@ def _pass(line: Column, regex: str, groups: int) -> Column:
             def one(i: Column) -> Column:
                 fields_of = F.split(parts[i], FIELD, -1)
                 separator = fields_of[2] if groups > 1 else F.lit("")
-                inside_word = parts[i - 1].rlike(r"[A-Za-z0-9_]\z") & parts[i].rlike(
+                inside_word = F.right(parts[i - 1], F.lit(1)).rlike("[A-Za-z0-9_]") & parts[i].rlike(
                     r"\A[A-Za-z0-9_]"
                 )
                 label = clean_label(fields_of[0])
@@ -219,8 +225,9 @@ def _not_overlapping(candidates: Column, taken: Column) -> Column:
 
 def inline_labels(line: Column) -> Column:
     """Labels of a line in order: with a separator, then before white space, then bare."""
-    explicit = F.when(line.rlike(_SEPARATOR), _pass(line, _EXPLICIT, 4)).otherwise(empty(_LABEL))
-    other_scripts = line.rlike(f"(?i)passport|{_CJK_ARABIC}")
+    separated = line.rlike("[:#=-]") | (is_wide(line) & line.rlike(_SEPARATOR))
+    explicit = F.when(separated, _pass(line, _EXPLICIT, 4, _EXPLICIT_ASCII)).otherwise(empty(_LABEL))
+    other_scripts = F.when(is_wide(line), line.rlike(f"(?i)passport|{_CJK_ARABIC}")).otherwise(F.lower(line).contains("passport"))
 
     def add_blank(taken: Column) -> Column:
         return F.concat(taken, _not_overlapping(_pass(line, _BLANK, 1), taken))
@@ -241,13 +248,12 @@ def inline_values(line: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
             stop = F.coalesce(F.get(labels, i + 1)["label_start"], F.length(line))
             raw = F.substring(line, m["match_end"] + 1, stop - m["match_end"])
-            left = lstrip(raw)
-            value = F.when(m["separator"] == "=", _equals_value(rstrip(left))).otherwise(
-                rstrip(left)
-            )
+            left = F.ltrim(raw, F.lit(BLANKS))
+            bare = trim_blanks(raw)
+            value = F.when(m["separator"] == "=", _equals_value(bare)).otherwise(bare)
             start = m["match_end"] + F.length(raw) - F.length(left)
             return let(
-                rstrip(F.regexp_replace(value, r"[ \t;,|]+\z", "")),
+                F.rtrim(F.rtrim(value, F.lit(" \t;,|")), F.lit(BLANKS)),
                 lambda v: F.struct(
                     m["label"].alias("label"),
                     start.alias("start"),
@@ -271,29 +277,28 @@ def _equals_value(value: Column) -> Column:
 
 def label_line(line: Column) -> Column:
     """The whole line as one `label: value`, as an array of no or one span."""
-    pattern = f"\\A([{SPACE}]*)([^:：]{{1,72}})([{SPACE}]*[:：][{SPACE}]*)([^\\n]+)\\z"
-    parts = F.struct(
-        F.regexp_extract(line, pattern, 1).alias("indent"),
-        F.regexp_extract(line, pattern, 2).alias("label"),
-        F.regexp_extract(line, pattern, 3).alias("colon"),
-        rstrip(F.regexp_extract(line, pattern, 4)).alias("value"),
-    )
+    pattern = "\\A([{0}]*)([^{1}]{{1,72}})([{0}]*[{1}][{0}]*)([^\\n]+)\\z"
+    cut = replaced(line, pattern.format(SPACE, ":："), pattern.format(ASCII_SPACE, ":"), FIELD.join(("$1", "$2", "$3", "$4")))
 
     def span(p: Column) -> Column:
-        start = F.length(p["indent"]) + F.length(p["label"]) + F.length(p["colon"])
-        return F.when(
-            p["value"] != "",
-            F.array(
-                F.struct(
-                    clean_label(p["label"]).alias("label"),
-                    start.alias("start"),
-                    (start + F.length(p["value"])).alias("end"),
-                    p["value"].alias("value"),
-                )
-            ),
-        ).otherwise(empty("struct<label:string,start:int,end:int,value:string>"))
+        start = F.length(p[0]) + F.length(p[1]) + F.length(p[2])
+        return let(
+            F.rtrim(p[3], F.lit(BLANKS)),
+            lambda value: F.when(
+                value != "",
+                F.array(
+                    F.struct(
+                        clean_label(p[1]).alias("label"),
+                        start.alias("start"),
+                        (start + F.length(value)).alias("end"),
+                        value.alias("value"),
+                    )
+                ),
+            ).otherwise(none),
+        )
 
-    return let(parts, span)
+    none = empty("struct<label:string,start:int,end:int,value:string>")
+    return let(F.split(cut, FIELD, -1), lambda parts: F.when(F.size(parts) == 4, span(parts)).otherwise(none))
 
 
 def _signals_of(spans: Column, line: Column) -> Column:
@@ -320,7 +325,8 @@ def classified(label: Column, value: Column) -> Column:
 def line_signals(line: Column) -> Column:
     """Signals of one line struct: inline labels, else the whole line as label and value."""
     text = line["line"]
-    whole = F.when(text.rlike("[:：]"), _signals_of(label_line(text), line)).otherwise(empty(SIGNAL))
+    colon = text.contains(":") | text.contains("：")
+    whole = F.when(colon, _signals_of(label_line(text), line)).otherwise(empty(SIGNAL))
     return let(
         _signals_of(inline_values(text), line),
         lambda found: F.when(F.size(found) > 0, found).otherwise(whole),
@@ -339,7 +345,7 @@ def label_signals(lines: Column) -> Column:
 
 def stacked_label(line: Column) -> Column:
     """The label a line consists of, null if it is no known label."""
-    bare = strip(F.regexp_replace(strip(line), "[:：#=\\-–—]+\\z", ""))
+    bare = trim_blanks(F.rtrim(trim_blanks(line), F.lit(":：#=-–—")))
 
     def known(label: Column) -> Column:
         return F.when(
@@ -361,11 +367,11 @@ def stacked_values(lines: Column) -> Column:
     def with_labels(labels: Column) -> Column:
         def one(i: Column) -> Column:
             below = F.slice(lines, i + 2, F.lit(3))
-            first = F.get(F.filter(below, lambda b: strip(b["line"]) != ""), F.lit(0))
+            first = F.get(F.filter(below, lambda b: trim_blanks(b["line"]) != ""), F.lit(0))
 
             def span(v: Column) -> Column:
-                value = strip(v["line"])
-                start = v["start"] + F.length(v["line"]) - F.length(lstrip(v["line"]))
+                value = trim_blanks(v["line"])
+                start = v["start"] + F.length(v["line"]) - F.length(F.ltrim(v["line"], F.lit(BLANKS)))
                 return F.when(
                     v.isNotNull() & stacked_label(v["line"]).isNull(),
                     F.struct(
