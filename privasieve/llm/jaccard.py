@@ -129,6 +129,15 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def repeated(tokens: np.ndarray) -> np.ndarray:
+    """The tokens that are there more than once, each as often as before. Sorts in place, as a task's share is large and most
+    of it is met once: a copy of it and the places of all its tokens would take several times its memory."""
+    tokens.sort()
+    same = np.zeros(len(tokens) + 1, bool)
+    np.equal(tokens[1:], tokens[:-1], out=same[1:-1])
+    return tokens[same[1:] | same[:-1]]
+
+
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, seen): how many sets of this task hold a token, summed up in portions; tokens met once in a portion are left out."""
     pool: list[np.ndarray] = []
@@ -136,10 +145,10 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size = 0
 
     def counts() -> pa.RecordBatch:
-        tokens, seen = np.unique(np.concatenate(pool), return_counts=True)
+        tokens = np.concatenate(pool)
         pool.clear()
         known.clear()
-        tokens, seen = tokens[seen > 1], seen[seen > 1]
+        tokens, seen = np.unique(repeated(tokens), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(seen.astype(np.int64))], ["token", "seen"])
 
     for batch in batches:

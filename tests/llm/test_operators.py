@@ -309,3 +309,19 @@ def test_mixing(docs, rows, empty):
     drawn = mixing.draw(docs, mixing.mix(docs)).collect()
     assert sum(len(WORD.findall(r.text)) for r in drawn) == sum(r.taken for r in got)
     assert mixing.mix(empty).count() == 0
+
+
+def test_counting_shared_tokens_takes_little_memory():
+    """pipeline, near_duplicates: a portion of tokens is counted in less than twice its own memory."""
+    import tracemalloc
+
+    few = np.array([5, 7, 5, 9, 7, 5, np.iinfo(np.uint64).max], np.uint64)
+    assert jaccard.repeated(few.copy()).tolist() == [5, 5, 5, 7, 7]
+    assert [len(jaccard.repeated(np.arange(n, dtype=np.uint64))) for n in (0, 1, 2)] == [0, 0, 0]
+    tokens = np.random.default_rng(1).integers(0, 1 << 63, 1_000_000).astype(np.uint64)
+    tracemalloc.start()
+    try:
+        jaccard.repeated(tokens)
+        assert tracemalloc.get_traced_memory()[1] < tokens.nbytes
+    finally:
+        tracemalloc.stop()
