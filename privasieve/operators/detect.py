@@ -33,12 +33,14 @@ from ..functions.text import (
     replaced,
     searchable,
     short_hash,
+    signs,
 )
-from .labels import SIGNAL, label_signals, stacked_signals
+from .labels import SIGNAL, label_signals, may_have_label, stacked_signals
 
 _RULES = {rule.name: rule for rule in fixed.PATTERN_RULES}
 _PHONE_RUN = r"[\d \-().+]*\d[\d \-().+]*"
 _PHONE_DIGITS = 7  # the fewest of a valid phone number
+_ENOUGH_DIGITS = rf"\d(?:[ \-().+]*+\d){{{_PHONE_DIGITS - 1}}}"
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,10 @@ def _regexes(pattern: str, ignore_case: bool = False) -> tuple[str, str]:
     return java_regex(pattern, ignore_case), java_regex(pattern, ignore_case, only_ascii=True)
 
 
-def near_digits(text: Column) -> Column:
+def near_digits(text: Column, its_signs: Column | None = None) -> Column:
     """The parts of a text in which a pattern with a digit can be: empty for most texts, short for others."""
-    return F.when(text.rlike(r"\p{Nd}"), replaced(text, _FAR, _FAR.replace(r"\p{Nd}", "0-9"), "$1$2")).otherwise("")
+    told = text if its_signs is None else its_signs
+    return F.when(told.rlike(r"\p{Nd}"), replaced(text, _FAR, _FAR.replace(r"\p{Nd}", "0-9"), "$1$2")).otherwise("")
 
 
 def _hinted(name: str, digits: Column, hex_groups: Column) -> Column:
@@ -127,7 +130,8 @@ def phone_candidates(text: Column, only_possible: bool = True) -> Column:
     if only_possible:
         runs = F.filter(runs, possible)
     found = F.flatten(F.transform(runs, in_run))
-    return F.when(text.rlike(java_regex(_RULES["phone"].needs)), found).otherwise(
+    needed = _ENOUGH_DIGITS if only_possible else _RULES["phone"].needs
+    return F.when(text.rlike(java_regex(needed)), found).otherwise(
         empty("struct<start:int,end:int,value:string,run_ok:boolean>")
     )
 
@@ -247,15 +251,16 @@ def hold(data: DataFrame, name: str, value: Column) -> DataFrame:
 @cache
 def _stages() -> dict[str, Column]:
     """The detection expressions by column name. They are long, so they are built once."""
-    text = F.col("_text")
+    text, its_signs = F.col("_text"), F.col("_signs")
     labels, stacked, accepted = F.col("_labels"), F.col("_stacked"), F.col("_accepted")
     hints = F.col("_digits"), F.col("_hex")
     found = F.array(*[_pattern_signal(text, r.name, accepted, _hinted(r.name, *hints)) for r in fixed.PATTERN_RULES])
     return {
-        "_digits": near_digits(text),
-        "_hex": text.rlike(_HEX_GROUP),
-        "_lines": lines(text),
-        "_labels": label_signals(F.col("_lines")),
+        "_signs": signs(text),
+        "_digits": near_digits(text, its_signs),
+        "_hex": its_signs.rlike("(?s)[:-].*[:-]") & text.rlike(_HEX_GROUP),
+        "_lines": lines(text, its_signs),
+        "_labels": F.when(~may_have_label(text, its_signs), empty(SIGNAL)).otherwise(label_signals(F.col("_lines"))),
         "_stacked": stacked_signals(F.col("_lines")),
         "_first": first_per_key(labels),
         "_accepted": F.concat(

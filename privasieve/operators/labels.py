@@ -53,11 +53,13 @@ _BLANK = f"(?iu)({literal_alternation(_BLANK_LABELS)})(?=[{SPACE}]+[^{SPACE}])"
 _BARE = f"(?iu)({literal_alternation(_BARE_LABELS)})"
 
 _MARKS = r"[:#=\-]"
+_PASSPORT = "(?i)passport"  # without (?u) only ASCII letters are alike: as in the lower-case text
 _WIDE_MARKS = r"[：\u2013-\u2014\u0600-\u06ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]"  # wide separators and letters of those scripts
 # At most six words, and one more for separators that stand alone.
 _FEW_WORDS = (
     f"\\A[{SPACE}]*+(?:[^{SPACE}\\p{{N}}/\\\\|{{}}\\[\\]()]++(?:[{SPACE}]++|\\z)){{1,7}}\\z"
 )
+_FEW_ASCII_WORDS = f"\\A[{ASCII_SPACE}]*+(?:[^{ASCII_SPACE}0123456789/\\\\|{{}}\\[\\]()]++(?:[{ASCII_SPACE}]++|\\z)){{1,7}}\\z"
 _LABEL = "struct<label_start:int,match_end:int,label:string,separator:string>"
 _STACKED_KEYS = sorted({fold_text(w) for w in fixed.STACKED_LABELS + fixed.MULTILINGUAL_WORDS})
 
@@ -227,7 +229,7 @@ def inline_labels(line: Column) -> Column:
     """Labels of a line in order: with a separator, then before white space, then bare."""
     separated = line.rlike("[:#=-]") | (is_wide(line) & line.rlike(_SEPARATOR))
     explicit = F.when(separated, _pass(line, _EXPLICIT, 4, _EXPLICIT_ASCII)).otherwise(empty(_LABEL))
-    other_scripts = F.when(is_wide(line), line.rlike(f"(?i)passport|{_CJK_ARABIC}")).otherwise(F.lower(line).contains("passport"))
+    other_scripts = F.when(is_wide(line), line.rlike(f"{_PASSPORT}|{_CJK_ARABIC}")).otherwise(line.rlike(_PASSPORT))
 
     def add_blank(taken: Column) -> Column:
         return F.concat(taken, _not_overlapping(_pass(line, _BLANK, 1), taken))
@@ -333,8 +335,10 @@ def line_signals(line: Column) -> Column:
     )
 
 
-def may_have_label(line: Column) -> Column:
-    return line.rlike(_MARKS) | (is_wide(line) & line.rlike(_WIDE_MARKS)) | F.lower(line).contains("passport")
+def may_have_label(text: Column, its_signs: Column | None = None) -> Column:
+    """Whether a line, or any line of a text, can hold a label. Where the `signs` of the text are known, its marks are looked for there."""
+    told = text if its_signs is None else its_signs
+    return told.rlike(_MARKS) | (is_wide(told) & told.rlike(_WIDE_MARKS)) | text.rlike(_PASSPORT)
 
 
 def label_signals(lines: Column) -> Column:
@@ -357,7 +361,8 @@ def stacked_label(line: Column) -> Column:
             clean_label(label),
         )
 
-    return F.when(line.rlike(_FEW_WORDS), let(bare, known)).otherwise(F.lit(None).cast("string"))
+    few_words = F.when(is_wide(line), line.rlike(_FEW_WORDS)).otherwise(line.rlike(_FEW_ASCII_WORDS))
+    return F.when(few_words, let(bare, known)).otherwise(F.lit(None).cast("string"))
 
 
 def stacked_values(lines: Column) -> Column:
