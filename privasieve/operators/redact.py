@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import SPACE, cutter, empty, java_regex, let, preceding, running_max, running_starts, searchable, short_hash, strip
+from ..functions.text import SPACE, cutter, empty, java_regex, let, preceding, replaced, running_max, running_starts, searchable, short_hash, strip
 from .anchors import anchor_id, marker_of
 from .detect import hold
 
 MARGIN, MAX_CONTEXT = 90, 260
+_TO_SCRUB = r"[@:：\p{Nd}]"  # a text without any of these holds nothing to scrub
 
 # Raw values that may not appear in any output.
 LEAK_PATTERNS = (
@@ -37,18 +38,27 @@ def scrub_labels(text: Column) -> Column:
         return F.when(keep, p).otherwise(F.concat(head, F.lit(" [REDACTED_CONTEXT]")))
 
     pieces = F.split(text, r"(?<=[;,|\t])|(?=[;,|\t])", -1)
-    return F.array_join(F.transform(pieces, piece), "")
+    # A text without a colon stays as it is, and a split by a longer pattern would read that pattern anew for every text.
+    return F.when(text.contains(":") | text.contains("："), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
 
 
 def scrub_numbers(text: Column) -> Column:
     """Mail addresses, phone numbers and long digit runs of neighbour text, in this order."""
-    out = F.regexp_replace(text, java_regex(fixed.EMAIL), "[REDACTED_EMAIL]")
-    out = F.regexp_replace(out, java_regex(fixed.PHONE), "[REDACTED_PHONE]")
-    return F.regexp_replace(out, java_regex(fixed.LONG_DIGITS), "[REDACTED_NUMBER]")
+
+    def by_marker(found: Column, pattern: str, marker: str) -> Column:
+        return replaced(found, java_regex(pattern), java_regex(pattern, only_ascii=True), marker)
+
+    mailed = F.when(text.contains("@"), by_marker(text, fixed.EMAIL, "[REDACTED_EMAIL]")).otherwise(text)
+
+    def numbered(out: Column) -> Column:  # both patterns hold two digits at least
+        phoned = by_marker(out, fixed.PHONE, "[REDACTED_PHONE]")
+        return F.when(out.rlike(r"\p{Nd}"), let(phoned, lambda p: by_marker(p, fixed.LONG_DIGITS, "[REDACTED_NUMBER]"))).otherwise(out)
+
+    return let(mailed, numbered)
 
 
 def scrub_plain(text: Column) -> Column:
-    return scrub_labels(scrub_numbers(text))
+    return F.when(text.rlike(_TO_SCRUB), let(scrub_numbers(text), scrub_labels)).otherwise(text)
 
 
 def _bounds(low: Column, high: Column, start: Column, end: Column) -> Column:
@@ -212,7 +222,7 @@ def masked_text(text: Column, signals: Column) -> Column:
     """
 
     def scrub(gap: Column) -> Column:
-        return F.array_join(F.transform(F.split(gap, "\n", -1), scrub_plain), "\n")
+        return F.when(gap.rlike(_TO_SCRUB), F.array_join(F.transform(F.split(gap, "\n", -1), scrub_plain), "\n")).otherwise(gap)
 
     def joined(spans: Column, reach: Column) -> Column:
         def pieces(cut) -> Column:
