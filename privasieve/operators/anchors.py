@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import display_type, empty, let, lines, preceding, running_starts, searchable, short_hash
+from ..functions.text import display_type, empty, let, lines, preceding, running_max, running_starts, searchable, short_hash
 
 SOURCE_REFERENCE = "source_reference:"
 _MARKER = r"\[REDACTED_[A-Z0-9_]+\]"
@@ -153,6 +153,47 @@ def region_union(regions: DataFrame, signals: DataFrame, key: str = "doc_id") ->
     )
 
 
+def region_union_in_rows(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`region_union` of documents that carry their `signals` and `regions` as arrays, with keys that do not repeat.
+
+    Regions may overlap and come in any order. Sorted by start, those that a signal can overlap are a stretch between two
+    positions, which one merge each finds for all signals, so no line and no region leaves its row.
+    """
+    spans = F.filter("regions", lambda r: r["region_start"].isNotNull() & r["region_end"].isNotNull())
+    by_start = F.sort_array(F.transform(spans, lambda r: F.struct(r["region_start"].cast("int").alias("start"), r["region_end"].cast("int").alias("end"), r.alias("region"))))
+
+    def told(signal: Column, i: Column, inside: Column) -> Column:
+        def least(value: str) -> Column:
+            return F.array_min(F.transform(inside, lambda r: r["region"][value]))
+
+        def reach(begin: str, extent: str) -> Column:
+            return F.round(F.array_max(F.transform(inside, lambda r: r["region"][begin] + r["region"][extent])) - least(begin), 2)
+
+        first = F.array_min(F.transform(inside, lambda r: F.when(r["region"]["ordinal"].isNotNull(), F.struct(r["region"]["ordinal"].alias("ordinal"), r["region"]["unit"].alias("unit")))))
+        return F.struct(
+            (i + 1).alias("seq"), F.round(least("x"), 2).alias("x"), F.round(least("y"), 2).alias("y"),
+            reach("x", "width").alias("width"), reach("y", "height").alias("height"),
+            F.round(least("ocr_confidence"), 2).alias("ocr_confidence"), first["unit"].alias("unit"), F.size(inside).cast("long").alias("regions"),
+        )
+
+    def of_signals(places: Column, low: Column, high: Column) -> Column:
+        def one(signal: Column, i: Column) -> Column:
+            begin = F.get(low, i) + 1
+            near = F.slice(places, begin + 1, F.greatest(F.get(high, i) - begin + 1, F.lit(0)))
+            return let(F.filter(near, lambda r: r["end"] > signal["start"]), lambda inside: told(signal, i, inside))
+
+        return F.filter(F.transform("signals", one), lambda x: x["regions"] > 0)
+
+    def merged(places: Column) -> Column:
+        ends = F.transform(places, lambda r: r["end"])
+        reached = F.transform(F.arrays_zip(ends.alias("end"), running_max(ends, F.lit(0)).alias("before")), lambda x: F.greatest(x["end"], x["before"]))
+        low = preceding(reached, F.transform("signals", lambda s: s["start"]))
+        high = preceding(F.transform(places, lambda r: r["start"]), F.transform("signals", lambda s: s["end"] - 1))
+        return let(low, lambda lows: let(high, lambda highs: of_signals(places, lows, highs)))
+
+    return documents.select(key, F.inline(F.when(F.size("signals") > 0, let(by_start, merged))))
+
+
 def marker_of(snippet: Column) -> Column:
     return F.coalesce(
         F.nullif(F.regexp_extract(snippet, _MARKER, 0), F.lit("")), F.lit("[REDACTED_VALUE]")

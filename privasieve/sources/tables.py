@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .forms import render_forms
 
+BROADCAST_KEYS = 500_000
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -23,6 +25,21 @@ def spread(data: DataFrame, partitions: int | None = None) -> DataFrame:
     return data.repartition(cores)
 
 
+def apart_by_repeats(data: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key is there once, and those whose key repeats (None: there are none). Rows without a key are left out.
+
+    Keys alone are counted for that, so no text is sent. A list of repeated keys of known, small size is broadcast; a longer one
+    is joined like any table.
+    """
+    keyed = data.filter(F.col(key).isNotNull())
+    repeats = keyed.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1").select(key)
+    many = repeats.count()
+    if not many:
+        return keyed, None
+    side = F.broadcast(repeats) if many <= BROADCAST_KEYS else repeats
+    return keyed.join(side, key, "left_anti"), keyed.join(side, key, "left_semi")
+
+
 def source_documents(documents: DataFrame) -> DataFrame:
     """Documents of a source as files: path, name, size, family and extraction facts."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))

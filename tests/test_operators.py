@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from privasieve.functions import text as t
 from privasieve.operators import anchors, delta, detect, evaluate, extract, findings, inventory, manage, redact
+from privasieve.plans import finding_queries
 from privasieve.sources import files
 
 
@@ -171,3 +172,36 @@ def test_file_cap_is_exact_under_skew(spark):
     files = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source_id"), F.format_string("p%05d", "id").alias("path"))
     rows = inventory.file_cap(files, cap=3).filter("source_id = 'hot'").orderBy("path").collect()
     assert [r.path for r in rows] == ["p00000", "p00001", "p00002"]
+
+
+def test_regions_in_rows_like_the_join(spark):
+    """Overlapping, empty, enclosing and unordered regions, null ones, signals over stretches of 4096 and signals without any."""
+    spans = [(9000, 9500), (0, 5000), (10, 20), (20, 20), (4090, 4100), (12, 15), (None, 30), (5000, None), (4096, 8192)]
+    regions = [(1, i, a, b, i * 1.255, -i * 2.5, 10.0 + i, 4.0, None if i == 2 else 90.0 - i, f"u{i}") for i, (a, b) in enumerate(spans)]
+    signals = [(1, 1, 14, 21), (1, 2, 9600, 9700), (1, 3, 4095, 4097), (1, 4, 20, 25), (1, 5, 0, 9001), (1, 6, 5000, 5001), (2, 1, 0, 5)]
+    columns = "doc_id long, ordinal int, region_start int, region_end int, x double, y double, width double, height double, ocr_confidence double, unit string"
+    r = spark.createDataFrame(regions, columns)
+    s = spark.createDataFrame(signals, "doc_id long, seq int, start int, end int")
+    expected = anchors.region_union(r.filter("region_start IS NOT NULL AND region_end IS NOT NULL"), s)
+    arrays = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "end"))).alias("signals")).join(
+        r.groupBy("doc_id").agg(F.collect_list(F.struct(*r.columns[1:])).alias("regions")), "doc_id", "left")
+    got = anchors.region_union_in_rows(arrays)
+    assert got.schema.names == expected.schema.names
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in expected.collect()} and got.count() == 5
+
+
+def _region_tables(spark, folder, texts):
+    spark.createDataFrame([(i, "s", t) for i, t in texts], "doc_id long, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([], "n_nationkey int, n_name string").write.parquet(f"{folder}/nation.parquet")
+    return str(folder)
+
+
+def test_region_union_sends_no_lines(spark, tmp_path):
+    texts = [(1, "intro\nEmail: a@b.org\n\nName: Jo Doe"), (2, "nothing"), (3, None), (None, "Email: a@b.org")]
+    once = finding_queries.region_union(spark, _region_tables(spark, tmp_path / "once", texts))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan and "Aggregate" not in plan and "signals" in plan and plan.count("Join") <= 1  # forms and nations
+    assert {(r.doc_id, r.seq, r.regions) for r in once.collect()} == {(1, 1, 1), (1, 2, 1)}
+    twice = finding_queries.region_union(spark, _region_tables(spark, tmp_path / "twice", [*texts, (1, "Email: c@d.org")]))
+    assert sorted((r.doc_id, r.seq, r.regions) for r in twice.collect()) == [(1, 1, 4), (1, 2, 1)]
