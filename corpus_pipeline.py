@@ -24,13 +24,19 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 BATCH_BYTES = 4 << 20  # of texts that go to a Python worker at once
 
+# Python workers live on from stage to stage, several on an executor. Large arrays and batches go back to the system when they
+# are freed; by default the allocators keep them for the worker's next task, beside the JVM's heap.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+
 #: No SQL can express the trained network of the first stage, so none can express the rows of the last.
 ORACLE_SQL = None
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded in bytes, whatever the length of the texts; a row is never cut."""
+    """Arrow batches are bounded in bytes, whatever the length of the texts; a row is never cut. Workers give freed memory back."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,3 +122,25 @@ def test_run(spark, folder):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert "@" not in text
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mix", "tokens"]
+
+
+def _kept_after(batches):
+    """(mb): what a worker still has of 120 MB of large arrays that it freed while small ones between them stay."""
+    import pyarrow as pa
+
+    def held() -> int:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+
+    for batch in batches:
+        np.ones(2_000_000).sum()  # by default the first large array that is freed lets later ones of its size stay
+        before, large, small = held(), [], []
+        for _ in range(80):
+            large.append(np.ones(190_000))
+            small.append(np.ones(8_000))
+        del large
+        yield pa.RecordBatch.from_arrays([pa.array([held() - before + 0 * len(small)] * batch.num_rows, pa.int64())], ["mb"])
+
+
+def test_workers_give_memory_back(spark):
+    corpus_pipeline.bound_batches(spark)
+    assert spark.range(1).mapInArrow(_kept_after, "mb long").first().mb < 20
